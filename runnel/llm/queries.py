@@ -7,6 +7,8 @@ import importlib
 #: module -> queries of that name in it; an operator's own SQL is its module's ORACLE_SQL.
 MODULES = {
     "op4_token_stream": "op4_token_stream",
+    "op3_quality_classifier": "op3_quality_classifier",
+    "op6_toxicity": "op6_toxicity",
     "op5_lsh_forest": "op5_lsh_forest",
     "op8_rlz_dedup": "op8_rlz_dedup",
     "op10_packing": "op10_packing",
