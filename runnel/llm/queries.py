@@ -10,6 +10,7 @@ MODULES = {
     "op3_quality_classifier": "op3_quality_classifier",
     "op6_toxicity": "op6_toxicity",
     "op5_lsh_forest": "op5_lsh_forest",
+    "op7_warc": "op7_warc",
     "op8_rlz_dedup": "op8_rlz_dedup",
     "op10_packing": "op10_packing",
 }
