@@ -7,6 +7,7 @@ import importlib
 #: module -> queries of that name in it; an operator's own SQL is its module's ORACLE_SQL.
 MODULES = {
     "op4_token_stream": "op4_token_stream",
+    "op1_quality_rules": "op1_quality_rules",
     "op3_quality_classifier": "op3_quality_classifier",
     "op6_toxicity": "op6_toxicity",
     "op5_lsh_forest": "op5_lsh_forest",
