@@ -13,6 +13,7 @@ MODULES = {
     "op5_lsh_forest": "op5_lsh_forest",
     "op7_warc": "op7_warc",
     "op8_rlz_dedup": "op8_rlz_dedup",
+    "op9_decontamination": "op9_decontamination",
     "op10_packing": "op10_packing",
 }
 
