@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op4_token_stream": "op4_token_stream",
     "op1_quality_rules": "op1_quality_rules",
+    "op2_pii": "op2_pii",
     "op3_quality_classifier": "op3_quality_classifier",
     "op6_toxicity": "op6_toxicity",
     "op5_lsh_forest": "op5_lsh_forest",
