@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from runnel.plans import queries_joins, queries_models, queries_python, queries_scores, queries_segments, queries_windows
+
+MODULES = (queries_windows, queries_segments, queries_joins, queries_scores, queries_models, queries_python)
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for m in MODULES for name, q in m.REGISTRY.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.REGISTRY.sql.items()}
