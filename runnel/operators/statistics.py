@@ -56,15 +56,15 @@ def delta_bic(long: DataFrame, dims: int, penalty: float) -> DataFrame:
     w = Window.partitionBy("recording_id", "dim")
     o = w.orderBy("frame_idx")
     ns, ss, qs = (F.last(c).over(o.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for c in ("n", "s", "q"))
-    r = p.select("recording_id", "dim", "frame_idx", "n", "s", "q", ns.alias("N"), ss.alias("S"), qs.alias("Q"), F.lead("n").over(o).alias("n2"), F.lead("s").over(o).alias("s2"), F.lead("q").over(o).alias("q2"))
+    r = p.select("recording_id", "dim", "frame_idx", "n", "s", "q", ns.alias("n0"), ss.alias("s0"), qs.alias("q0"), F.lead("n").over(o).alias("n2"), F.lead("s").over(o).alias("s2"), F.lead("q").over(o).alias("q2"))
     var = lambda n, s, q: q / n - (s / n) * (s / n)
     c = F.col
-    r = r.where((c("n") >= dims + 2) & (c("n") < c("N") - dims - 2))
-    v0, v1 = var(c("N"), c("S"), c("Q")), var(c("n"), c("s"), c("q"))
-    v2 = var(c("N") - c("n2"), c("S") - c("s2"), c("Q") - c("q2"))
+    r = r.where((c("n") >= dims + 2) & (c("n") < c("n0") - dims - 2))
+    v0, v1 = var(c("n0"), c("s0"), c("q0")), var(c("n"), c("s"), c("q"))
+    v2 = var(c("n0") - c("n2"), c("s0") - c("s2"), c("q0") - c("q2"))
     low = F.least(v0, v1, v2)
-    sums = r.groupBy("recording_id", "frame_idx", c("n").alias("r"), "N").agg(F.sum(F.ln(F.when(v0 > 0, v0))).alias("d0"), F.sum(F.ln(F.when(v1 > 0, v1))).alias("d1"), F.sum(F.ln(F.when(v2 > 0, v2))).alias("d2"), F.min(low).alias("low"))
-    bic = c("N") / 2 * c("d0") - c("r") / 2 * c("d1") - (c("N") - c("r")) / 2 * c("d2") - penalty * complexity(dims, c("N"))
+    sums = r.groupBy("recording_id", "frame_idx", c("n").alias("r"), "n0").agg(F.sum(F.ln(F.when(v0 > 0, v0))).alias("d0"), F.sum(F.ln(F.when(v1 > 0, v1))).alias("d1"), F.sum(F.ln(F.when(v2 > 0, v2))).alias("d2"), F.min(low).alias("low"))
+    bic = c("n0") / 2 * c("d0") - c("r") / 2 * c("d1") - (c("n0") - c("r")) / 2 * c("d2") - penalty * complexity(dims, c("n0"))
     return sums.where("low > 1e-12").select("recording_id", "frame_idx", "r", bic.alias("bic"))
 
 
