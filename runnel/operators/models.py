@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runnel.functions.columns import WEIBULL_MONO, WEIBULL_POLY, weibull
-from runnel.operators.windows import ORDER
+from runnel.operators.windows import by_frame
 
 
 def log_sum_exp(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
@@ -78,7 +78,7 @@ def monophony(frames: DataFrame, value: str, block: int = 50, hop: int = 25, wid
     Inside a block the mean and variance of every window of ``width`` frames are scored by the
     two Weibull models; the better mean decides (1 mono, 0 poly).
     """
-    w = ORDER.rowsBetween(0, width - 1)
+    w = by_frame().rowsBetween(0, width - 1)
     r = frames.select("recording_id", "frame_idx", F.avg(value).over(w).alias("m"), (F.var_pop(value).over(w) + eps).alias("v"), F.count(value).over(w).alias("n")).where((F.col("n") == width) & (F.col("m") > 0))
     n = frames.groupBy("recording_id").agg(F.count(F.lit(1)).alias("frames"))
     first = F.greatest(F.lit(0), F.ceil((F.col("frame_idx") - (block - width - 1)) / hop))

@@ -7,12 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runnel.operators.windows import ORDER
+from runnel.operators.windows import by_frame
 
 
 def local_maxima(df: DataFrame, value: str) -> DataFrame:
     """Rows above both neighbours; the ends have only one and go."""
-    before, after = F.lag(value).over(ORDER), F.lead(value).over(ORDER)
+    before, after = F.lag(value).over(by_frame()), F.lead(value).over(by_frame())
     return df.withColumn("_k", (F.col(value) > before) & (F.col(value) > after)).where("_k").drop("_k")
 
 

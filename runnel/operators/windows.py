@@ -9,14 +9,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: The least positive 32-bit step, which stands in for values that have no logarithm.
 EPS = 1.1920929e-07
 
-ORDER = Window.partitionBy("recording_id").orderBy("frame_idx")
-WHOLE = ORDER.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+def by_frame() -> WindowSpec:
+    """A recording's frames in order. A function, as a window needs a session and workers have none."""
+    return Window.partitionBy("recording_id").orderBy("frame_idx")
+
+
+def whole() -> WindowSpec:
+    return by_frame().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def frame_count() -> Column:
@@ -31,25 +36,25 @@ def modulation(df: DataFrame, w_len: int, log: bool = True, value: str = "value"
     """
     w = w_len // 2
     x = F.ln(F.when(F.col(value) <= 0, F.lit(EPS)).otherwise(F.col(value))) if log else F.col(value)
-    v = F.var_pop(x).over(ORDER.rowsBetween(-w, w - 1))
-    row, n = F.row_number().over(ORDER) - 1, F.count(F.lit(1)).over(WHOLE)
+    v = F.var_pop(x).over(by_frame().rowsBetween(-w, w - 1))
+    row, n = F.row_number().over(by_frame()) - 1, F.count(F.lit(1)).over(whole())
     v = F.when((row >= w) & (row < n - w), F.round(v, digits) if digits is not None else v)
     out = df.withColumn("_v", v)
-    edge = F.when(F.row_number().over(ORDER) - 1 < w, F.first("_v", ignorenulls=True).over(WHOLE)).otherwise(F.last("_v", ignorenulls=True).over(WHOLE))
+    edge = F.when(F.row_number().over(by_frame()) - 1 < w, F.first("_v", ignorenulls=True).over(whole())).otherwise(F.last("_v", ignorenulls=True).over(whole()))
     return out.withColumn("modulation", F.coalesce("_v", edge)).drop("_v")
 
 
 def majority(df: DataFrame, flag: str, width: int, out: str = "median") -> DataFrame:
     """Median filter of odd width on booleans, zero-padded: the majority of the window."""
     half = width // 2
-    return df.withColumn(out, F.sum(F.col(flag).cast("int")).over(ORDER.rowsBetween(-half, half)) >= half + 1)
+    return df.withColumn(out, F.sum(F.col(flag).cast("int")).over(by_frame().rowsBetween(-half, half)) >= half + 1)
 
 
 def slide(df: DataFrame, value: str, width: int, function: Callable[[Column], Column], out: str) -> DataFrame:
     """``function`` of rows [-(width // 2), width - 1 - width // 2]; ends count what there is, which for
     minimum and maximum equals repeating the end values."""
     left = width // 2
-    return df.withColumn(out, function(F.col(value)).over(ORDER.rowsBetween(-left, width - 1 - left)))
+    return df.withColumn(out, function(F.col(value)).over(by_frame().rowsBetween(-left, width - 1 - left)))
 
 
 def dilate(df: DataFrame, value: str, width: int, out: str) -> DataFrame:
@@ -63,10 +68,10 @@ def erode(df: DataFrame, value: str, width: int, out: str) -> DataFrame:
 def smooth(df: DataFrame, value: str, width: int, out: str) -> DataFrame:
     """Sliding mean with the end values repeated beyond both ends."""
     left, right = width // 2, width - 1 - width // 2
-    row = F.row_number().over(ORDER) - 1
-    n = F.count(F.lit(1)).over(WHOLE)
-    first, last = F.first(value).over(WHOLE), F.last(value).over(WHOLE)
-    total = F.sum(value).over(ORDER.rowsBetween(-left, right))
+    row = F.row_number().over(by_frame()) - 1
+    n = F.count(F.lit(1)).over(whole())
+    first, last = F.first(value).over(whole()), F.last(value).over(whole())
+    total = F.sum(value).over(by_frame().rowsBetween(-left, right))
     total = total + F.greatest(F.lit(0), left - row) * first + F.greatest(F.lit(0), row + right - (n - 1)) * last
     return df.withColumn(out, total / width)
 
@@ -82,14 +87,14 @@ def dilate_erode(df: DataFrame, value: str, width: int, out: str) -> DataFrame:
 def binary_erosion(df: DataFrame, flag: str, length: int, out: str) -> DataFrame:
     """A frame stays set if its whole neighbourhood is; beyond the ends nothing is set."""
     left = length // 2
-    w = ORDER.rowsBetween(-left, length - 1 - left)
+    w = by_frame().rowsBetween(-left, length - 1 - left)
     return df.withColumn(out, (F.sum(F.col(flag).cast("int")).over(w) == length))
 
 
 def binary_dilation(df: DataFrame, flag: str, length: int, out: str) -> DataFrame:
     """The mirrored neighbourhood of a set frame is set."""
     left = length - 1 - length // 2
-    return df.withColumn(out, F.max(F.col(flag).cast("int")).over(ORDER.rowsBetween(-left, length // 2)) == 1)
+    return df.withColumn(out, F.max(F.col(flag).cast("int")).over(by_frame().rowsBetween(-left, length // 2)) == 1)
 
 
 def opening(df: DataFrame, flag: str, length: int, out: str) -> DataFrame:
@@ -119,8 +124,8 @@ def two_sided_divergence(long: DataFrame, width: int) -> DataFrame:
 def median_of(df: DataFrame, value: str, points: int, out: str) -> DataFrame:
     """Median of rows [-w, w - 1], w = points // 2 (so an odd count loses one point); 0 at the ends."""
     w = points // 2
-    row, n = F.row_number().over(ORDER) - 1, F.count(F.lit(1)).over(WHOLE)
-    x = F.percentile(value, 0.5).over(ORDER.rowsBetween(-w, w - 1))
+    row, n = F.row_number().over(by_frame()) - 1, F.count(F.lit(1)).over(whole())
+    x = F.percentile(value, 0.5).over(by_frame().rowsBetween(-w, w - 1))
     return df.withColumn(out, F.when((row >= w) & (row < n - w), x).otherwise(0.0))
 
 
@@ -139,8 +144,8 @@ def rank_slices(df: DataFrame, value: str, exclude: float, keep: float) -> DataF
 
 def derivative(df: DataFrame, value: str, reach: int, out: str) -> DataFrame:
     """Regression slope over ``reach`` frames on both sides, the end values repeated."""
-    first, last = F.first(value).over(WHOLE), F.last(value).over(WHOLE)
+    first, last = F.first(value).over(whole()), F.last(value).over(whole())
     total = F.lit(0.0)
     for k in range(1, reach + 1):
-        total = total + k * (F.coalesce(F.lead(value, k).over(ORDER), last) - F.coalesce(F.lag(value, k).over(ORDER), first))
+        total = total + k * (F.coalesce(F.lead(value, k).over(by_frame()), last) - F.coalesce(F.lag(value, k).over(by_frame()), first))
     return df.withColumn(out, total / (2 * sum(k * k for k in range(1, reach + 1))))

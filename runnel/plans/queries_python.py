@@ -1,3 +1,159 @@
+"""Sequential operators per recording, signal features, analyzers and streams: SQL cannot say most of these."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from runnel.operators import bic, changepoints, harmonic
+from runnel.operators import joins as J
+from runnel.operators import models as M
+from runnel.operators import topk as K
+from runnel.operators import windows as W
+from runnel.plans import analyzers as A
+from runnel.plans.graphers import grapher_sql, grapher_table
+from runnel.plans.queries_models import _llh
 from runnel.plans.registry import Registry
+from runnel.sources.audio import frames, from_arrays
+from runnel.sources.tables import NODES, features, long_features, nodes, series, table
 
 REGISTRY = Registry()
+query = REGISTRY.query
+
+
+def signal(spark: SparkSession, d: str) -> DataFrame:
+    """recording_id, frame_idx, value: prices of each supplier's line items as a signal in [-1, 1]."""
+    w = W.Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("recording_id"), (F.row_number().over(w) - 1).cast("long").alias("frame_idx"), (F.col("l_extendedprice") / 60000 - 0.5).alias("value"))
+
+
+@query()
+def c1_c8_divergence_cuts(spark, d):
+    return changepoints.cut_recordings(signal(spark, d), 1000.0, "segment", limit=3.0, bias=0.0)
+
+
+@query()
+def c2_c9_hybrid_cuts(spark, d):
+    return changepoints.cut_recordings(signal(spark, d), 1000.0, "hybrid")
+
+
+@query()
+def w15_drop_test(spark, d):
+    def flags(x, limit):
+        out = np.zeros(len(x))
+        out[[c for c in changepoints.drops(x - x.mean(), limit) if c < len(x)]] = 1
+        return out
+
+    return K.per_recording(series(spark, d).select("recording_id", "frame_idx", "value"), "value", flags, "cut", 100.0)
+
+
+@query()
+def b2_b3_a9_bic_votes(spark, d):
+    return bic.vote(features(spark, d), [0.0001, 0.0005, 0.001], least=150, most=400, step=50, slide=60)
+
+
+@query()
+def b4_bic_clustering(spark, d):
+    f = features(spark, d).withColumn("seg", F.col("label").cast("long"))
+    return bic.cluster_segments(f.select("recording_id", "seg", "frame_idx", "f"), "seg", 0.01)
+
+
+@query()
+def b7_full_covariance_clustering(spark, d):
+    f = features(spark, d).withColumn("seg", F.col("label").cast("long")).withColumn("f", F.slice("f", 1, 8))
+    return bic.cluster_segments(f.select("recording_id", "seg", "frame_idx", "f"), "seg", 0.5, full=True)
+
+
+@query()
+def m4_viterbi(spark, d):
+    return M.viterbi(_llh(spark, d), [0, 1], 5.0)
+
+
+@query()
+def o7_peak_suppression(spark, d):
+    s = series(spark, d).select("recording_id", "frame_idx", "value")
+    return K.per_recording(s, "value", K.suppressed, "decision", 5).where("decision > 0")
+
+
+@query()
+def o8_recursive_cuts(spark, d):
+    g = W.two_sided_divergence(long_features(spark, d), 20)
+    return K.per_recording(g, "divergence", K.recursive_cuts, "cut", 20).where("cut = 1").select("recording_id", "frame_idx")
+
+
+_U5 = f"""WITH RECURSIVE {NODES}, u AS (SELECT DISTINCT recording_id, frame_idx, track_id FROM nodes), e AS (SELECT a.recording_id, a.track_id AS a, b.track_id AS b FROM u a JOIN u b ON a.recording_id = b.recording_id AND a.frame_idx = b.frame_idx AND a.track_id <> b.track_id GROUP BY 1, 2, 3 HAVING count(*) > 3),
+ r AS (SELECT recording_id, a AS node, a AS other FROM e UNION SELECT r.recording_id, r.node, e.b FROM r JOIN e ON r.recording_id = e.recording_id AND r.other = e.a) SELECT recording_id, node, min(other) AS component FROM r GROUP BY 1, 2"""
+
+
+@query(_U5)
+def u5_j7_components(spark, d):
+    return harmonic.components(J.linked(nodes(spark, d)))
+
+
+@query()
+def h2_peak_tracking(spark, d):
+    top = K.top_k(nodes(spark, d), ["recording_id", "frame_idx"], "amplitude", "frequency", 5)
+    return harmonic.track(top.select("recording_id", "frame_idx", "rank", "frequency", "amplitude"), 2)
+
+
+@query()
+def h3_harmonic_groups(spark, d):
+    n = nodes(spark, d)
+    comp = harmonic.components(J.linked(n)).withColumnRenamed("node", "track_id")
+    return harmonic.group_tracks(n.join(comp, ["recording_id", "track_id"]))
+
+
+@query(grapher_sql())
+def s12_graphers(spark, d):
+    return grapher_table(spark)
+
+
+def demo(spark: SparkSession, rate: int = 16000, seconds: float = 4.0) -> DataFrame:
+    """Blocks of three synthetic recordings: a vibrato tone, modulated noise, and tones that change."""
+    t = np.arange(int(rate * seconds)) / rate
+    rng = np.random.default_rng(1)
+    voice = 0.5 * np.sin(2 * np.pi * 220 * t + 4 * np.sin(2 * np.pi * 5 * t))
+    noise = 0.2 * rng.normal(size=len(t)) * (1 + np.sin(2 * np.pi * 4 * t))
+    tones = 0.4 * np.sin(2 * np.pi * np.repeat([300, 500, 800, 400], len(t) // 4) * t[: len(t) // 4 * 4]) + 0.01 * rng.normal(size=len(t) // 4 * 4)
+    return from_arrays(spark, {"voice": (rate, voice), "noise": (rate, noise), "tones": (rate, tones)})
+
+
+def _toy_gmm(spark: SparkSession, names: list[str], dims: int) -> DataFrame:
+    rng = np.random.default_rng(2)
+    rows = [(n, k, 0.5, rng.normal(size=dims).tolist(), (1 + rng.random(dims)).tolist()) for n in names for k in range(2)]
+    return spark.createDataFrame(rows, "model_id string, k int, weight double, mu array<double>, var array<double>")
+
+
+@query()
+def t2_reblocking(spark, d):
+    f = frames(demo(spark), 256, 128)
+    return f.select("recording_id", "frame_idx", "t", F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x * x), 6).alias("energy"))
+
+
+def _analysis(id: str, result: str, **more):
+    def run(spark, d):
+        seconds = more.get("seconds", 4.0)
+        ctx = A.Context(demo(spark, seconds=seconds), 16000)
+        if "gmm" in more:
+            ctx.gmm = _toy_gmm(spark, *more["gmm"])
+        if "prototypes" in more:
+            ctx.prototypes = more["prototypes"]
+        if "onsets" in more:
+            ctx.onsets = spark.createDataFrame([(r, t) for r in ("voice", "noise", "tones") for t in more["onsets"]], "recording_id string, t double")
+        return A.run(id, ctx, **more.get("options", {}))[result]
+
+    run.__name__ = f"analyzer_{id}"
+    return query()(run)
+
+
+_SAD_MODEL = (["speech", "nonspeech"], 40)
+for _id, _result, _more in [
+    ("irit_speech_4hz", "irit_speech_4hz.segments_median", {}), ("irit_speech_entropy", "irit_speech_entropy.segments", {"options": {"blocksize": 256}}),
+    ("irit_diverg", "irit_diverg.segments", {"seconds": 0.6}), ("irit_diverg2", "irit_diverg2.segments", {"seconds": 0.6}), ("irit_music_snb", "irit_music_snb.segments", {"seconds": 0.8}), ("irit_music_sln", "irit_music_sln.segments", {"seconds": 2.0}),
+    ("irit_tempogram", "irit_tempogram", {"seconds": 0.8}), ("irit_startseg", "irit_startseg.segments", {"prototypes": [[0.2, 0.1, 0.05], [0.1, 0.1, 0.1]]}), ("irit_singing_turns", "irit_singing_turns", {}),
+    ("irit_harmo_tracking", "irit_harmo_tracking", {}), ("irit_harmo_cluster", "irit_harmo_cluster", {}), ("irit_monopoly", "irit_monopoly.segments", {}), ("irit_singing", "irit_singing.segments", {}),
+    ("limsi_sad", "limsi_sad.sad_segments", {"gmm": _SAD_MODEL}), ("limsi_diarization", "limsi_diarization.speakers", {"gmm": _SAD_MODEL, "options": {"gdiff_win_size_sec": 0.3, "min_seg_size_sec": 0.2}}),
+    ("labri_speech_music_noise", "labri_speech_music_noise.speech", {"gmm": (["speech.a", "music.b", "noise.c"], 39)}), ("labri_singing", "labri_singing", {"gmm": (["sing", "nosing"], 39), "onsets": [0.5, 1.2, 2.0]}),
+]:
+    _analysis(_id, _result, **_more)

@@ -42,7 +42,7 @@ def p4_p5_p8_threshold_confidence_clip(spark, d):
 @query(f"WITH {SERIES} SELECT recording_id, frame_idx, row_number() {O} - 1 AS compact_idx FROM series WHERE value > 50 AND t BETWEEN 1704067200 AND 1735689600")
 def p9_p10_interval_and_voiced_filter(spark, d):
     s = series(spark, d).where((F.col("value") > 50) & F.col("t").between(1704067200, 1735689600))
-    return s.select("recording_id", "frame_idx", (F.row_number().over(W.ORDER) - 1).cast("long").alias("compact_idx"))
+    return s.select("recording_id", "frame_idx", (F.row_number().over(W.by_frame()) - 1).cast("long").alias("compact_idx"))
 
 
 @query(f"WITH {SERIES}, r AS (SELECT *, lag(value) {O} AS b, lead(value) {O} AS a FROM series) SELECT recording_id, frame_idx, value FROM r WHERE value > b AND value > a")
@@ -66,8 +66,8 @@ def p13_feature_concatenation(spark, d):
 @query(f"WITH {SERIES}, r AS (SELECT recording_id, frame_idx, value, CASE WHEN lead(frame_idx) {O} IS NULL THEN 0 ELSE value END AS patched FROM series) SELECT recording_id, frame_idx, round(patched / nullif(max(patched) {ALL}, 0), 6) AS by_max, round(value / nullif(avg(value) {ALL}, 0), 6) AS by_mean FROM r")
 def p14_p15_p16_normalize(spark, d):
     """By the maximum, the last value taken as 0 first; by the mean."""
-    s = series(spark, d).withColumn("patched", F.when(F.lead("frame_idx").over(W.ORDER).isNull(), 0.0).otherwise(F.col("value")))
-    return s.select("recording_id", "frame_idx", F.round(F.col("patched") / F.nullif(F.max("patched").over(W.WHOLE), F.lit(0.0)), 6).alias("by_max"), F.round(F.col("value") / F.nullif(F.avg("value").over(W.WHOLE), F.lit(0.0)), 6).alias("by_mean"))
+    s = series(spark, d).withColumn("patched", F.when(F.lead("frame_idx").over(W.by_frame()).isNull(), 0.0).otherwise(F.col("value")))
+    return s.select("recording_id", "frame_idx", F.round(F.col("patched") / F.nullif(F.max("patched").over(W.whole()), F.lit(0.0)), 6).alias("by_max"), F.round(F.col("value") / F.nullif(F.avg("value").over(W.whole()), F.lit(0.0)), 6).alias("by_mean"))
 
 
 @query(f"WITH {SERIES} SELECT recording_id, frame_idx, round(CASE WHEN value > 0 THEN ln(value) ELSE -1e9 END, 6) AS logged, CASE WHEN value > 50 THEN 'Speech' ELSE 'NonSpeech' END AS name FROM series")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from runnel.operators import segments as S
-from runnel.operators.windows import ORDER
+from runnel.operators.windows import by_frame
 from runnel.plans.queries_windows import O, OVER
 from runnel.plans.registry import Registry
 from runnel.sources.tables import SERIES, series, table

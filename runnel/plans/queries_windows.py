@@ -106,7 +106,7 @@ def w10_note_smoothing(spark, d):
 @query(f"""WITH {SERIES}, r AS (SELECT recording_id, frame_idx, avg(value) {OVER.format('CURRENT ROW', '9 FOLLOWING')} AS m, var_pop(value) {OVER.format('CURRENT ROW', '9 FOLLOWING')} + 1e-15 AS v, count(*) {OVER.format('CURRENT ROW', '9 FOLLOWING')} AS n FROM series)
  SELECT recording_id, frame_idx, round(m, 5) AS mean, round(v, 6) AS variance FROM r WHERE n = 10""")
 def w11_short_window_statistics(spark, d):
-    w = W.ORDER.rowsBetween(0, 9)
+    w = W.by_frame().rowsBetween(0, 9)
     r = series(spark, d).select("recording_id", "frame_idx", F.avg("value").over(w).alias("mean"), (F.var_pop("value").over(w) + 1e-15).alias("variance"), F.count("value").over(w).alias("n"))
     return r.where("n = 10").select("recording_id", "frame_idx", F.round("mean", 5).alias("mean"), F.round("variance", 6).alias("variance"))
 
@@ -133,6 +133,6 @@ def f23_derivative(spark, d):
 @query(f"WITH {SERIES} SELECT recording_id, frame_idx, round(value * frame_idx / nullif(sum(CASE WHEN frame_idx > 0 THEN value END) {OVER.format('UNBOUNDED PRECEDING', 'CURRENT ROW')}, 0), 6) AS cumulated FROM series WHERE frame_idx > 0")
 def w14_cumulative_mean(spark, d):
     """Each value by the running mean of those up to it, from frame 1."""
-    w = W.ORDER.rowsBetween(W.Window.unboundedPreceding, 0)
+    w = W.by_frame().rowsBetween(W.Window.unboundedPreceding, 0)
     s = series(spark, d).where("frame_idx > 0")
     return s.select("recording_id", "frame_idx", F.round(F.col("value") * F.col("frame_idx") / F.nullif(F.sum("value").over(w), F.lit(0.0)), 6).alias("cumulated"))
