@@ -75,7 +75,7 @@ _BREAK = "\x03"
 def quick_codes(text: str) -> np.ndarray:
     """The codes of ``template(text)``: each distinct word is looked at once per worker."""
     words = text.replace("\n", f" {_BREAK} ").split()
-    if len(_WORDS) > 700_000:
+    if len(_WORDS) > 400_000:
         _WORDS.clear()
     for w in set(words).difference(_WORDS):
         if w == _BREAK or not w.strip(_TRIM):
@@ -157,13 +157,16 @@ class Index:
         for (item, shift), found in seen.items():
             own, own_kinds = self.words[item]
             lo, hi = min(found), min(max(found) + self.window, len(own))
-            there, back, changed, good = {}, {}, 0, True
+            there, back, changed = {}, {}, 0
+            good = 0 <= shift + lo and shift + hi <= len(words)
             for k in range(lo, hi):
                 if own_kinds[k][0] != "\x02" or not 0 <= shift + k < len(words) or kinds[shift + k] != own_kinds[k]:
                     continue
                 a, b = own[k].strip(_TRIM), words[shift + k].strip(_TRIM)
                 good = good and there.setdefault((own_kinds[k], a), b) == b and back.setdefault((own_kinds[k], b), a) == a
                 changed += a != b
+            # with other values in its slots a match must rest on words: placeholders alone are in any text
+            good = good and (not changed or 2 * sum(own_kinds[k][0] == "\x02" for k in range(lo, hi)) <= hi - lo)
             if good and (len(found) >= SHARE * self.count[item] or len(found) >= MANY):
                 row = (item, shift + lo, hi - lo, len(found), self.count[item], changed)
                 if item not in best or row[3] > best[item][3]:
@@ -189,7 +192,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
     n_windows, item_windows, slots_changed.
 
     A document holds an item if half of the item's windows, or MANY, are found on one diagonal
-    with consistent slots. An item shorter than a window must be found whole. Null or empty texts,
+    with consistent slots; where slot values differ, at least half of the matched words must be no
+    slots. An item shorter than a window must be found whole. Null or empty texts,
     on either side, match nothing; items without an id are left out; rows that share an id are
     each reported (their text_hash tells them apart). Other columns are ignored. An empty table on
     either side gives no rows.

@@ -1,0 +1,304 @@
+"""The corpus operators against brute force, on odd tables: nulls, empty and long texts, repeated rows,
+ties, extra columns with clashing names, and no rows at all."""
+
+import hashlib
+import io
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from runnel.llm import op1_quality_rules as o1
+from runnel.llm import op2_pii as o2
+from runnel.llm import op3_quality_classifier as o3
+from runnel.llm import op4_token_stream as o4
+from runnel.llm import op5_lsh_forest as o5
+from runnel.llm import op6_toxicity as o6
+from runnel.llm import op7_warc as o7
+from runnel.llm import op8_rlz_dedup as o8
+from runnel.llm import op9_decontamination as o9
+from runnel.llm import op10_packing as o10
+from runnel.llm.common import new_folder, tokenizer
+from runnel.llm.features import isotonic
+
+SCHEMA = "doc_id long, text string, score double, value string, n long, part int, id long, h long"
+
+
+def words(n, seed=0):
+    r = random.Random(seed)
+    return [r.choice("ab") * r.randint(1, 2) + str(r.randint(0, 999)) for _ in range(n)]
+
+
+BASE = words(120)
+LONG = " ".join(words(9000, 5))
+TEXTS = [
+    (1, " ".join(BASE)), (2, " ".join(BASE)), (3, " ".join(BASE[:118] + ["x", "y"])), (4, " ".join(words(60, 2) + BASE[:70])), (5, None), (6, ""), (7, " \n\t "), (8, "one two"),
+    (9, "one two"), (9, "one two"), (None, " ".join(BASE)), (None, None), (10, LONG), (11, LONG + " end"), (12, "Mail x.y@ex.org, 10.0.0.1, 4111 1111 1111 1111 +1 (234) 567-8901.\nA\nA\nA"), (13, "go go go go go go go go go go " * 9),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i, t, 0.5, "v", 1, 2, 3, 4) for i, t in TEXTS], SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def brute_sets(k):
+    out = {}
+    for i, t in TEXTS:
+        w = (t or "").lower().split()
+        n = min(k, len(w))
+        out.setdefault(i, set()).update({tuple(w[j : j + n]) for j in range(len(w) - n + 1)} if w else set())
+    return out
+
+
+def test_cached_tokenizer_is_the_library():
+    texts = [t or "" for _, t in TEXTS] + ["a  b", "\nx ", "I'LL don't, Café ÉA x_y_. --- 'tis 5.", "\x00a \x01b", "a b", "n\n\nm\to", "<|endoftext|>"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        tok = tokenizer(name)
+        for _ in range(2):
+            assert tok.encode(texts) == tok._encode(texts)
+
+
+def test_op1(docs, none):
+    got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in o1.quality_rules(docs).collect())
+    want = Counter()
+    for i, t in TEXTS:
+        w = (t or "").split()
+        lines = [x for x in (t or "").split("\n") if x.strip()]
+        grams = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        rep = len({j for k in range(len(w) - 7) if grams[tuple(w[k : k + 8])] > 1 for j in range(k, k + 8)})
+        want[i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), rep, len(w) < 20 or 100 * rep > 30 * len(w)] += 1
+    assert got == want
+    assert o1.quality_rules(none).count() == 0
+
+
+def test_op2(docs, none):
+    rows = o2.personal_spans(docs)
+    got = {r.doc_id: r.s for r in rows.select("doc_id", o2.told("all_spans").alias("s")).collect() if r.s}
+    text = dict(TEXTS)[12]
+    assert [text[int(a) : int(b)] for _, a, b in (x.split(":") for x in got[12].split(","))] == ["x.y@ex.org", "10.0.0.1", "4111 1111 1111 1111", "+1 (234) 567-8901"]
+    assert set(got) == {12} and rows.count() == len(TEXTS)
+    clean = {(r.doc_id, r.text) for r in o2.redacted(docs).collect()}
+    assert (12, "Mail [EMAIL], [IP], [CARD] [PHONE].\nA\nA\nA") in clean and (5, None) in clean and len(o2.redacted(docs).columns) == len(docs.columns)
+    assert o2.personal_spans(none).count() == 0
+
+
+def test_op2_contexts_discover_a_failing_card(spark):
+    def number(k):  # a card number that passes its check
+        for c in "0123456789":
+            d = [int(x) for x in f"{4000000000000 + k * 7919:015d}{c}"]
+            if sum((v * 2 - 9 if v > 4 else v * 2) if (15 - i) % 2 else v for i, v in enumerate(d)) % 10 == 0:
+                return "".join(map(str, d))
+
+    rows = [(k, f"please bill card {number(k)} today thanks") for k in range(40)] + [(100, "please bill card 4000000000000001 today thanks"), (101, "serial 123456789012345 of the part")]
+    got = {r.doc_id: (len(r.base), len(r.all_spans)) for r in o2.personal_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == (1, 1) and got[100] == (0, 1) and got[101][1] == 0
+
+
+@pytest.mark.parametrize("scores", [lambda d, lab: o3.quality_scores(d, lab), lambda d, lab: o6.toxicity_scores(d, lab)])
+def test_op3_op6_odd_tables(spark, docs, none, scores):
+    labels = spark.createDataFrame([(k, float(k % 2)) for k in (1, 2, 3, 4, 8, 10, 11, 13)], "doc_id long, y double")
+    for lab in (labels, labels.where("y = 1"), labels.limit(0)):
+        got = scores(docs, lab).collect()
+        assert len(got) == len(TEXTS) and all(0 <= r.score <= 1 and r.predicted in (0, 1) for r in got)
+    assert scores(none, labels).count() == 0
+
+
+def test_op3_op6_learn(spark):
+    r = random.Random(1)
+    rows, quality, toxic = [], [], []
+    for k in range(400):
+        w = [r.choice("lorem ipsum dolor sit amet consectetur elit sed do tempor".split()) for _ in range(60)]
+        bad, rude = k % 3 == 0, k % 4 == 0
+        if bad:
+            w = [x + "***" for x in w]
+        if rude:
+            w[5:5] = ["you", r.choice(["glurp", "snarfle"])]
+        rows.append((k, " ".join(w) + "."))
+        quality.append((k, float(not bad)))
+        toxic.append((k, float(rude)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for scores, truth in ((o3.quality_scores, quality), (o6.toxicity_scores, toxic)):
+        lab = spark.createDataFrame([x for x in truth if zlib.crc32(str(x[0]).encode()) % 5], "doc_id long, y double")
+        got = {r.doc_id: r.predicted for r in scores(docs, lab).where("held_out").collect()}
+        assert len(got) > 50 and np.mean([got[k] == dict(truth)[k] for k in got]) > 0.95
+
+
+def test_isotonic_rises():
+    xs, ys = isotonic([(float(k), 1.0, float(k in (2, 5, 6, 8, 9))) for k in range(10)])
+    assert ys == sorted(ys) and len(xs) == len(ys)
+    assert sum(np.interp(range(10), xs, ys)) == pytest.approx(5)
+
+
+def test_op4(spark, docs, none):
+    got = o4.read_token_files(o4.write_token_files(docs, new_folder(spark, "t"), width=16)).collect()
+    tok, at = tokenizer("byte_bpe_50k.json"), 0
+    rows = sorted(got, key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == sorted((i for i, _ in TEXTS), key=lambda i: (i is not None, i))
+    want = Counter((i, tok.encode([t])[0] + np.array([2], "<u4").tobytes()) for i, t in TEXTS)
+    assert Counter((r.doc_id, bytes(r.ids)) for r in rows) == want
+    for r in rows:
+        assert r.start == at and r.ids_crc32 == zlib.crc32(r.ids)
+        at += r.n_tokens
+    assert o4.read_token_files(o4.write_token_files(none, new_folder(spark, "t"))).count() == 0
+
+
+def test_op4_random_access(tmp_path):
+    path = tmp_path / "x.arrow"
+    ids = np.arange(5000, dtype=np.uint32)
+    with open(path, "wb") as f:
+        w = o4.SequenceWriter(f, 8)
+        for lo in range(0, 5000, 700):
+            w.append(ids[lo : lo + 700])
+        w.close()
+    reader = o4.SequenceReader(str(path))
+    assert (reader.ids(2040, 30) == ids[2040:2070]).all() and len(reader.ids(0, 0)) == 0
+    assert reader.file.get_batch(reader.file.num_record_batches - 1).column(1).flatten().to_pylist().count(False) == -5000 % 8
+
+
+@pytest.mark.parametrize("k", [4, 5])
+def test_op5(docs, none, k):
+    got = o5.near_duplicates(docs, words=k).collect()
+    sets = brute_sets(k)
+    ids = [i for i in sets if i is not None and sets[i]]
+    owner = {i: i for i in sets}
+    for _ in ids:
+        for a in ids:
+            for b in ids:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    owner[a] = owner[b] = min(owner[a], owner[b])
+    assert len(got) == len(TEXTS)
+    for r in got:
+        assert r.component_id == (owner[r.doc_id] if r.doc_id is not None else None)
+        assert r.kept == (r.doc_id is None or r.doc_id == r.component_id)
+    assert o5.near_duplicates(none).count() == 0
+
+
+def test_op5_dense_group(spark):
+    """Copies of one text with many edits: the components are those of all pairs."""
+    r = random.Random(3)
+    rows = []
+    for k in range(90):
+        w = list(words(150, 9))
+        for _ in range(r.randint(1, 9)):
+            w[r.randrange(150)] = f"z{r.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    got = {x.doc_id: x.component_id for x in o5.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()}
+    sets = {k: {tuple(t.split()[j : j + 4]) for j in range(147)} for k, t in rows}
+    owner = {k: k for k in sets}
+    for _ in range(90):
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    owner[a] = owner[b] = min(owner[a], owner[b])
+        if all(owner[owner[a]] == owner[a] for a in owner):
+            break
+    assert got == owner
+
+
+def test_op7(spark, none):
+    pages = [(1, "u", "<a>"), (2, "u\r\nv", "<a>"), (3, None, None), (4, "u", ""), (5, "u", "é" * 9), (None, "u", "<a>"), (5, "w", "é" * 9)]
+    df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, sha1 string")
+    got = o7.read_archives(o7.write_archives(df, new_folder(spark, "w"))).collect()
+    assert Counter((r.page_id, r.record_type, r.refers_to) for r in got) == Counter([(1, "revisit", 2), (2, "response", None), (3, "revisit", 4), (4, "response", None), (5, "response", None), (5, "response", None), (None, "revisit", 2)])
+    assert all(r.payload_digest == o7.sha1_base32((h or "").encode()) for r in got for i, _, h in pages if i == r.page_id)
+    assert o7.read_archives(o7.write_archives(df.limit(0), new_folder(spark, "w"))).count() == 0
+
+
+def test_op7_salvage():
+    def gz(b):
+        z = zlib.compressobj(1, zlib.DEFLATED, 31)
+        return z.compress(b) + z.flush()
+
+    recs = [o7.record_bytes(k, "u", b"x" * k * 50, o7.sha1_base32(b"x" * k * 50), k * 50, None) for k in range(20)]
+    parts = list(map(gz, recs))
+    parts[3] = parts[3][:-6]
+    parts[7] = b"junk" + parts[7]
+    parts[9] = recs[9]
+    bad = bytearray(parts[12])
+    bad[20] ^= 255
+    parts[12] = bytes(bad)
+    reader = o7.Salvage(io.BytesIO(b"".join(parts) + b"tail\x1f\x8b\x08"))
+    assert [int(r.headers["warc-record-id"][10:-1]) for r in reader] == [k for k in range(20) if k not in (3, 12)]
+    at = np.cumsum([0, *map(len, parts)]).tolist()
+    assert reader.gaps == [(at[3], at[4]), (at[7], at[7] + 4), (at[12], at[13]), (at[20], at[20] + 7)]
+    assert list(o7.Salvage(io.BytesIO(b""))) == []
+
+
+def test_op8(docs, none):
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in o8.duplicate_spans(docs, 50).collect())
+    starts, want = {}, Counter()
+    for i, t in TEXTS:
+        w = (t or "").split()
+        for k in range(len(w) - 49):
+            if i is not None:
+                g = tuple(w[k : k + 50])
+                starts[g] = min(i, starts.get(g, i))
+    for i, t in TEXTS:
+        w = (t or "").split()
+        keep = [True] * len(w)
+        for k in range(len(w) - 49):
+            if i is not None and starts[tuple(w[k : k + 50])] < i:
+                keep[k : k + 50] = [False] * 50
+        left = [x for x, y in zip(w, keep) if y]
+        want[i, len(w), len(w) - len(left), hashlib.sha256(" ".join(left).encode()).hexdigest()] += 1
+    assert got == want
+    assert o8.duplicate_spans(none, 50).count() == 0
+
+
+def test_op9(spark, docs, none):
+    bench = spark.createDataFrame([(1, "If Tom has 12 apples and gives 5 apples to Anna, how many apples does Tom keep?"), (2, None), (3, ""), (None, "x"), (4, "one two"), (1, "If Tom has 12 apples and gives 5 apples to Anna, how many apples does Tom keep?")], "item_id long, text string")
+    more = docs.select("doc_id", "text").union(spark.createDataFrame([(50, "bla. If Max has 99 apples and gives 3 apples to Eva, how many apples does Max keep? end"), (51, "bla. If Max has 99 apples and gives 3 apples to Eva, how many apples does Bob keep?")], "doc_id long, text string"))
+    got = Counter((r.doc_id, r.item_id, r.slots_changed > 0) for r in o9.contaminated(more, bench).collect())
+    assert got == Counter({(50, 1, True): 1, (8, 4, False): 1, (9, 4, False): 2})
+    small = Counter((r.doc_id, r.item_id, r.slots_changed > 0) for r in o9.contaminated(more, bench, block_chars=10).collect())
+    assert small == got
+    assert o9.contaminated(none, bench).count() == 0 and o9.contaminated(more, bench.limit(0)).count() == 0
+
+
+def test_op9_quick_codes_are_the_template():
+    for _, t in TEXTS:
+        assert (o9.quick_codes(t or "") == o9.Index.codes(o9.template(t)[1])).all()
+
+
+def test_op10_plan_places_all_pieces():
+    r = random.Random(4)
+    h = Counter(r.randint(1, 64) for _ in range(500))
+    h[48] += 200
+    rows, pool, windows = o10.plan(dict(h), 64)
+    used, size = Counter(), Counter()
+    for x, a, b, per, s, at in rows:
+        used[x] += b - a
+        for k in range(b - a):
+            size[s + k // per] += x
+    for x, a, b, _ in pool:
+        used[x] += b - a
+    assert used == h and set(size.values()) == {64} and len(size) == windows
+
+
+def test_op10(docs, none):
+    got = o10.pack(docs).collect()
+    tok = tokenizer("word_bpe_49k.json")
+    want = Counter((i, len(tok.encode([t])[0]) // 4 + 1) for i, t in TEXTS)
+    assert Counter({k: sum(r.length for r in got if (r.doc_id, r.doc_tokens) == k) for k in want}) == Counter({k: k[1] * n for k, n in want.items()})
+    ids = {i: tok.encode([t])[0] + np.array([1], "<u4").tobytes() for i, t in TEXTS if i is not None}
+    assert all(zlib.crc32(ids[r.doc_id][4 * r.start : 4 * (r.start + r.length)]) == r.ids_crc32 for r in got if r.doc_id is not None)
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in by.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at == 2048 or at & (at - 1) == 0
+    assert sorted(by) == list(range(len(by)))
+    assert o10.pack(none).count() == 0
