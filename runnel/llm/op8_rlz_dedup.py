@@ -145,3 +145,14 @@ def duplicate_spans(docs: DataFrame, width: int = 50) -> DataFrame:
 def op8_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, windows of 50 words; digests of what is kept."""
     return duplicate_spans(documents(spark, sf_dir), 50).drop("spans")
+
+
+ORACLE_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ g AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50) q),
+ f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS source FROM g),
+ gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM f WHERE source < doc_id),
+ word AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS k, unnest(ws) AS x FROM w),
+ kept AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY k) AS t, count(*) AS n FROM word ANTI JOIN gone ON word.doc_id = gone.doc_id AND word.k = gone.k GROUP BY 1)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""
