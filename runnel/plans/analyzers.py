@@ -48,6 +48,7 @@ class Analyzer:
     parameters: dict = field(default_factory=dict)
 
 
+#: By id; analyzer and result ids are fixed values that users know.
 REGISTRY: dict[str, Analyzer] = {}
 
 

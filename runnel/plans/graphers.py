@@ -6,8 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SAD = {"yes": "speech", "no": "nonspeech"}
-#: grapher_id, analyzer, result_id, parameters, staging.
+#: Fixed values, as users know them: grapher_id, analyzer, result_id, parameters, staging.
 GRAPHERS = [
     ("grapher_irit_speech_4hz_segments", "irit_speech_4hz", "irit_speech_4hz.segments", {}, True),
     ("grapher_irit_speech_4hz_segments_median", "irit_speech_4hz", "irit_speech_4hz.segments_median", {}, False),
