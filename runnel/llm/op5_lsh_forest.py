@@ -23,9 +23,10 @@ from runnel.llm.common import WordSequence, documents, mix, written
 from runnel.llm.components import components
 
 TREES, DEPTH = 20, 4
-K = TREES * DEPTH
-#: Signatures must agree in so many of K coordinates to make a candidate: over 4 sigmas below 0.8.
-AGREE = 48
+#: Coordinates of a signature; the first TREES * DEPTH make the trees' keys.
+K = 400
+#: Signatures must agree in so many of K coordinates to make a candidate: 4 sigmas below 0.8.
+AGREE = 288
 #: Regions with more members are split deeper; with no more than FEW, all candidates are passed on.
 DENSE, FEW = 768, 8
 #: Buckets with more rows are dealt to several tasks.
@@ -68,11 +69,11 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
                 least = mix(least)
                 keys = np.tile(np.arange(1, TREES + 1, dtype=np.uint64), (len(sets), 1))
                 for d in range(DEPTH):
-                    keys = mix(keys * np.uint64(31) + least[:, d::DEPTH])
+                    keys = mix(keys * np.uint64(31) + least[:, d : TREES * DEPTH : DEPTH])
                 sketch = (least & np.uint64(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array(sizes, pa.int64()), pa.array(sums[:, 0].view(np.int64)), pa.array(sums[:, 1].view(np.int64)),
-                    pa.array([r.tobytes() for r in sketch], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, K // DEPTH * len(sets) + 1, TREES), pa.int32()), pa.array(keys.view(np.int64).ravel())),
+                    pa.array([r.tobytes() for r in sketch], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, TREES * len(sets) + 1, TREES), pa.int32()), pa.array(keys.view(np.int64).ravel())),
                 ], ["doc_id", "n_shingles", "set_a", "set_b", "sketch", "keys"])
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -95,7 +96,7 @@ def _chosen(sketch: np.ndarray, ids: np.ndarray, group: np.ndarray | None) -> tu
         i, j = np.nonzero(np.triu(ok))
         return i, j, False
     pick = np.zeros((n, n), bool)
-    near = np.argpartition(-same, 4, axis=1)[:, :4]
+    near = np.argpartition(-same, FEW, axis=1)[:, :FEW]
     pick[np.arange(n)[:, None], near] = True
     # hubs: the member closest to most others takes them all, until each has one
     open_, score = ok.any(1), np.where(ok, same, 0)
@@ -180,12 +181,15 @@ def candidates(rows: DataFrame, second: bool) -> DataFrame:
 
 
 def forest_rows(classes: DataFrame) -> DataFrame:
-    """A row per class and tree. A hot bucket's rows are dealt by id, with its least id in each part."""
-    rows = classes.select("doc_id", "sketch", F.posexplode("keys").alias("tree", "key"))
-    hot = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub")).where(F.col("n") > HOT)
+    """A row per class and tree in which it shares a bucket. Signatures join after the lone rows have
+    gone. A hot bucket's rows are dealt by id, with its least id in each part."""
+    rows = classes.select("doc_id", F.posexplode("keys").alias("tree", "key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub")).where("n > 1")
+    met = rows.join(shared, "key")
     parts = F.ceil(F.col("n") / HOT).cast("int")
-    dealt = rows.join(hot, "key", "left").withColumn("part", F.when(F.col("n").isNull(), F.array(F.lit(0))).when(F.col("doc_id") == F.col("hub"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), parts).cast("int"))))
-    return dealt.select("doc_id", "sketch", "tree", F.explode("part").alias("part"), "key").select("doc_id", "sketch", "tree", F.when(F.col("part") == 0, F.col("key")).otherwise(F.xxhash64("key", "part")).alias("key"))
+    part = F.when(F.col("n") <= HOT, F.array(F.lit(0))).when(F.col("doc_id") == F.col("hub"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), parts).cast("int")))
+    dealt = met.select("doc_id", "tree", "key", F.explode(part).alias("part")).select("doc_id", "tree", F.when(F.col("part") == 0, F.col("key")).otherwise(F.xxhash64("key", "part")).alias("key"))
+    return dealt.join(classes.select("doc_id", "sketch"), "doc_id")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -200,10 +204,15 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(sets, "id long, items array<long>")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def sets_of(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The full sets of all documents in ``pairs``."""
+    ids = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select(F.col("b").alias("id")).distinct()).distinct()
+    # never broadcast: there are the more ids the more documents there are
+    return written(full_sets(texts.join(ids.hint("merge"), "id", "left_semi"), words), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets reach the similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = written(full_sets(texts.join(ids, "id", "left_semi"), words), "sets")
     left, right = sets.withColumnRenamed("items", "x"), sets.withColumnRenamed("items", "y")
     met = pairs.join(left, pairs.a == left.id).drop("id").join(right, F.col("b") == right.id)
     both = F.size(F.array_intersect("x", "y"))
@@ -228,7 +237,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     rows = forest_rows(classes)
     first = written(candidates(rows, False), "candidates")
     pairs = first.where("a is not null").select("a", "b").distinct()
-    links = written(confirmed(pairs, texts, words, percent), "links")
+    sets = sets_of(pairs, texts, words)
+    links = written(confirmed(pairs, sets, percent), "links")
     held = first.where("held is not null").select(F.col("held").alias("key")).distinct()
     if not held.isEmpty():
         groups = components(links)
@@ -236,7 +246,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         rest = written(candidates(again, True).select("a", "b").distinct(), "candidates").join(pairs, ["a", "b"], "left_anti")
         rest = written(rest, "rest")
         if not rest.isEmpty():
-            links = written(links.union(confirmed(rest, texts, words, percent)), "links")
+            # whatever is a candidate now had its nearest ones passed on before: its set is there
+            links = written(links.union(confirmed(rest, sets, percent)), "links")
     groups = components(links)
     member = table.join(heads, same, "left").join(groups, F.col("head") == F.col("id"), "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce(F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "head")), F.col("doc_id"))).otherwise(F.col("doc_id"))
@@ -246,3 +257,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 def op5_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, sets of 4-word shingles, links at 80 percent."""
     return near_duplicates(documents(spark, sf_dir), words=4)
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + least(4, len(ws)) - 1], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0) q),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+ r AS (SELECT doc_id AS node, doc_id AS other FROM w UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a),
+ m AS (SELECT node, min(other) AS k FROM r GROUP BY 1)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.k AS component_id, w.doc_id = m.k AS kept FROM w JOIN m ON m.node = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
+"""
