@@ -124,6 +124,9 @@ class WordSequence:
 
 #: White space beyond ASCII, and separators that libraries class differently.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　﻿]")
+#: Characters whose lower case or composition depends on their neighbours, and the marks used below.
+_BOUND = re.compile("[\0\x01\u0300-\u036f\u03a3\u0345]")
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _RUNS = re.compile("[ \t-\r]{2}|[\t\x0b-\r]")
 
 
@@ -133,29 +136,57 @@ class CachedTokenizer:
     Both vocabularies split a text into pieces before merging, and a single space or newline
     between two other characters always ends a piece. The text is cut there, each distinct piece
     is encoded by the library, and the ids (bytes, unsigned 32-bit little-endian) are joined.
-    Texts with other white space are encoded whole. The cache is emptied once it holds
-    ``limit`` pieces, so memory is bounded.
+    Texts with other white space are encoded whole. The cache has two generations: the older one
+    goes once the younger holds half of ``limit`` pieces, so memory is bounded.
     """
 
-    def __init__(self, name: str, limit: int = 800_000):
+    def __init__(self, name: str, limit: int = 500_000):
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.tokenizer.encode_special_tokens = True
         self.spaced = name.startswith("byte")  # a piece holds the space before it
-        self.limit, self.cache = limit, {}
+        self.limit, self.cache, self.older = limit, {}, {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in done]
 
+    def _learn(self, pieces: set[str]) -> None:
+        """Puts the ids of unseen pieces into the cache.
+
+        Punctuation after a letter is always a piece of its own, and one vocabulary knows lower
+        case only, so pieces that differ in that alone share one encoding.
+        """
+        cache, older, parts, todo = self.cache, self.older, [], set()
+        for p in pieces:
+            if p in older:
+                cache[p] = older[p]
+                continue
+            base, tail = p, ""
+            if p[-1] in _PUNCTUATION and (cut := p.rstrip(_PUNCTUATION)) and cut[-1].isalpha():
+                base, tail = cut, "\x01" + p[len(cut) :]
+                todo.add(tail)
+            if not self.spaced:
+                base = base.lower()
+            if base != p:
+                parts.append((p, base, tail))
+            todo.add(base)
+        cache.update((p, older[p]) for p in todo if p in older)
+        new = [p for p in todo if p not in cache]
+        told = [p if p[0] == "\n" else p[1:] if p[0] in "\0\x01" else " " + p for p in new] if self.spaced else [p.lstrip("\x01") for p in new]
+        for lo in range(0, len(new), 20_000):
+            cache.update(zip(new[lo : lo + 20_000], self._encode(told[lo : lo + 20_000])))
+        cache[""] = b""
+        cache.update([(p, cache[base] + cache[tail]) for p, base, tail in parts])
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split, whole = [], []
         for k, text in enumerate(texts):
             if not text:
                 split.append([])
-            elif _ODD.search(text) or (self.spaced and (_RUNS.search(text) or text[0] in " \n" or text[-1] in " \n")):
+            elif _ODD.search(text) or _BOUND.search(text) or (self.spaced and (_RUNS.search(text) or text[0] in " \n" or text[-1] in " \n")):
                 split.append(None)
                 whole.append(k)
             elif self.spaced:
@@ -163,14 +194,10 @@ class CachedTokenizer:
                 split.append(("\0" + text.replace("\n", " \n")).split(" "))
             else:
                 split.append(text.split())
-        if len(self.cache) > self.limit:
-            self.cache = {}
+        if len(self.cache) > self.limit // 2:
+            self.older, self.cache = self.cache, {}
         cache = self.cache
-        new = list(set().union(*(p for p in split if p)).difference(cache))
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            told = [p if p[0] == "\n" else p[1:] if p[0] == "\0" else " " + p for p in part] if self.spaced else part
-            cache.update(zip(part, self._encode(told)))
+        self._learn(set().union(*(p for p in split if p)).difference(cache))
         out = [b"" if p is None else b"".join(map(cache.__getitem__, p)) for p in split]
         for k, ids in zip(whole, self._encode([texts[k] for k in whole]) if whole else []):
             out[k] = ids
