@@ -31,16 +31,17 @@ def open_folder(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri if uri.startswith("/") else uri)
 
 
-def stream_schema(width: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), width)), ("mask", pa.list_(pa.uint8(), width))])
+def stream_schema(width: int, largest: int) -> pa.Schema:
+    """Ids as narrow as the largest one allows; a bit of the mask for each."""
+    return pa.schema([("ids", pa.list_(pa.uint16() if largest < 1 << 16 else pa.uint32(), width)), ("mask", pa.list_(pa.bool_(), width))])
 
 
 class SequenceWriter:
     """Appends ids to one file, a batch of full sequences at a time."""
 
-    def __init__(self, sink, width: int):
+    def __init__(self, sink, width: int, largest: int = (1 << 32) - 1):
         self.width, self.rest, self.n = width, [], 0
-        self.schema = stream_schema(width)
+        self.schema = stream_schema(width, largest)
         self.file = pa.ipc.new_file(sink, self.schema)
 
     def append(self, ids: np.ndarray) -> None:
@@ -54,14 +55,14 @@ class SequenceWriter:
             self.rest = [flat]
 
     def _batch(self, flat: np.ndarray, used: int) -> None:
-        mask = (np.arange(len(flat)) < used).astype(np.uint8)
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.width) for x in (flat, mask)]
+        kinds = [self.schema.field(k).type.value_type for k in (0, 1)]
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x, t), self.width) for x, t in zip((flat, np.arange(len(flat)) < used), kinds)]
         self.file.write_batch(pa.record_batch(lists, schema=self.schema))
 
     def close(self) -> None:
         flat = np.concatenate([np.zeros(0, np.uint32), *self.rest])
         if used := len(flat):
-            flat = np.concatenate([flat, np.zeros(-used % self.width, np.uint32)])
+            flat = np.concatenate([flat, np.zeros(-used % self.width, flat.dtype)])
             self._batch(flat, used)
         self.file.close()
 
@@ -105,7 +106,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_
                 for doc_id, data in zip(part.column(0).to_pylist(), tok.encode(part.column(1).to_pylist())):
                     if out is None:
                         sinks = [system.open_output_stream(f"{place}/{name}{x}") for x in ("", ".docs")]
-                        out = SequenceWriter(sinks[0], width)
+                        out = SequenceWriter(sinks[0], width, max(end_id, tok.tokenizer.get_vocab_size() - 1))
                     ids = np.concatenate((np.frombuffer(data, np.uint32), end))
                     out.append(ids)
                     ids_of.append(doc_id)
