@@ -6,8 +6,9 @@ prefix of at least ``DEPTH`` coordinates form a region. Regions that are too den
 split at the next coordinates until they are small (a depth of their own per region), and the very
 hot ones are dealt to several tasks that share a hub. Within a region the signatures pick the
 candidates, of which a linear number is passed on; links are confirmed on the full sets. A second
-pass goes over the regions that held candidates back and passes on every one that joins two
-different components, so nothing is lost to that limit.
+pass goes over the whole buckets that were split, were dealt or held candidates back. It compares
+every two of their members that are not yet in one component, block against block in tasks of
+their own, so nothing is lost to a split, a deal or that limit.
 """
 
 from __future__ import annotations
@@ -80,18 +81,24 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
     return kept.mapInArrow(sign, "doc_id long, n_shingles long, set_a long, set_b long, sketch binary, keys array<long>")
 
 
-def _chosen(sketch: np.ndarray, ids: np.ndarray, group: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Candidates of one region; whether some were held back. group: components, of which only
-    pairs of different ones count, all of them."""
+def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many coordinates each row of x agrees with each row of y."""
+    x, y = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+    same = np.zeros((x.shape[1], y.shape[1]), np.int16)
+    for lo in range(0, K, 200):  # a byte counts so many
+        part = np.zeros(same.shape, np.uint8)
+        for k in range(lo, min(lo + 200, K)):
+            part += (x[k][:, None] == y[k]).view(np.uint8)
+        same += part
+    return same
+
+
+def _chosen(sketch: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Candidates of one region; whether some were held back."""
     n = len(ids)
-    same = np.zeros((n, n), np.int16)
-    for c in range(0, K, 16):
-        same += (sketch[:, None, c : c + 16] == sketch[None, :, c : c + 16]).sum(-1, dtype=np.int16)
+    same = agreement(sketch, sketch)
     np.fill_diagonal(same, 0)
     ok = (same >= AGREE) & (ids[:, None] != ids[None, :])
-    if group is not None:
-        i, j = np.nonzero(np.triu(ok & (group[:, None] != group[None, :])))
-        return i, j, False
     if ok.sum() <= 2 * FEW * n:
         i, j = np.nonzero(np.triu(ok))
         return i, j, False
@@ -113,7 +120,8 @@ def _chosen(sketch: np.ndarray, ids: np.ndarray, group: np.ndarray | None) -> tu
 def _regions(sketch: np.ndarray, tree: int, rows: np.ndarray, depth: int) -> Iterator[np.ndarray]:
     """Splits a region at the next coordinate of its tree while it is dense.
 
-    Members that are still alike at the end are cut into blocks that overlap in one member.
+    Members that are still alike at the end are cut into blocks that overlap in one member. Pairs
+    that a split separates are left to the second pass.
     """
     if len(rows) <= DENSE:
         yield rows
@@ -126,72 +134,124 @@ def _regions(sketch: np.ndarray, tree: int, rows: np.ndarray, depth: int) -> Ite
             yield from _regions(sketch, tree, rows[byte == v], depth + 1)
 
 
-def candidates(rows: DataFrame, second: bool) -> DataFrame:
-    """(a, b, key, held): pairs of a region with a < b, and a row with null ends for each key whose
-    region held pairs back. rows: key, tree, doc_id, sketch, and component in the second pass."""
+def by_key(batches: Iterator[pa.RecordBatch], found) -> Iterator[pa.RecordBatch]:
+    """``found`` of tables that hold all rows of their keys; the rows come sorted by key."""
+    rest: pa.Table | None = None
+    for batch in batches:  # a key's rows may go on in the next batch
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([rest, table]) if rest is not None else table
+        keys = table["key"].to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+        if cut:
+            yield from found(table.slice(0, cut).combine_chunks())
+        rest = table.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield from found(rest.combine_chunks())
+
+
+def _opened(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches, and where the keys begin and end."""
+    keys = table["key"].to_numpy()
+    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, K)
+    return sketch, np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """(a, b, held): pairs of a region with a < b, and a row with null ends for each bucket that was
+    split or dealt, or of which pairs were held back. rows: key, bucket, n, tree, doc_id, sketch."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            keys, trees, ids = (table[c].to_numpy() for c in ("key", "tree", "doc_id"))
-            groups = table["component"].to_numpy() if second else None
-            sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, K)
-            borders = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+            keys, buckets, whole_n, trees, ids = (table[c].to_numpy() for c in ("key", "bucket", "n", "tree", "doc_id"))
+            sketch, borders = _opened(table)
             sizes = np.diff(borders)
-            out_a, out_b, held = [], [], []
-            if not second:  # small regions, all at once
-                small = np.repeat(sizes <= FEW, sizes)
-                for gap in range(1, FEW):
-                    i = np.flatnonzero((keys[gap:] == keys[:-gap]) & small[gap:]) if len(keys) > gap else np.zeros(0, np.int64)
-                    i = i[((sketch[i] == sketch[i + gap]).sum(1) >= AGREE) & (ids[i] != ids[i + gap])]
-                    out_a.append(ids[i])
-                    out_b.append(ids[i + gap])
-            for k in np.flatnonzero(sizes > (1 if second else FEW)).tolist():
+            out_a, out_b = [], []
+            held = set(buckets[whole_n > DENSE].tolist())
+            small = np.repeat(sizes <= FEW, sizes)  # all at once
+            for gap in range(1, FEW):
+                i = np.flatnonzero((keys[gap:] == keys[:-gap]) & small[gap:]) if len(keys) > gap else np.zeros(0, np.int64)
+                i = i[((sketch[i] == sketch[i + gap]).sum(1) >= AGREE) & (ids[i] != ids[i + gap])]
+                out_a.append(ids[i])
+                out_b.append(ids[i + gap])
+            for k in np.flatnonzero(sizes > FEW).tolist():
                 whole = np.arange(borders[k], borders[k + 1])
                 for r in _regions(sketch, int(trees[borders[k]]), whole, DEPTH):
                     if len(r) > 1:
-                        i, j, more = _chosen(sketch[r], ids[r], groups[r] if second else None)
+                        i, j, more = _chosen(sketch[r], ids[r])
                         out_a.append(ids[r[i]])
                         out_b.append(ids[r[j]])
                         if more:
-                            held.append(int(keys[borders[k]]))
+                            held.add(int(buckets[borders[k]]))
             a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
             pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
-            n = pairs.shape[1]
-            held = sorted(set(held))
+            n, held = pairs.shape[1], sorted(held)
             yield pa.RecordBatch.from_arrays([
                 pa.concat_arrays([pa.array(pairs[0], pa.int64()), pa.nulls(len(held), pa.int64())]), pa.concat_arrays([pa.array(pairs[1], pa.int64()), pa.nulls(len(held), pa.int64())]),
                 pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(held, pa.int64())]),
             ], ["a", "b", "held"])
 
-        rest: pa.Table | None = None
-        for batch in batches:  # a key's rows may go on in the next batch
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([rest, table]) if rest is not None else table
-            keys = table["key"].to_numpy()
-            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-            if cut:
-                yield from found(table.slice(0, cut).combine_chunks())
-            rest = table.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield from found(rest.combine_chunks())
-
-    names = ["key", "tree", "doc_id", "sketch"] + ["component"] * second
-    dealt = rows.select(*names).repartition("key").sortWithinPartitions("key")
+        return by_key(batches, found)
+
+    dealt = rows.select("key", "bucket", "n", "tree", "doc_id", "sketch").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(search, "a long, b long, held long")
 
 
+def shared_buckets(classes: DataFrame) -> DataFrame:
+    """doc_id, tree, bucket, n, hub: a row per class and tree in which it shares a bucket; the
+    bucket's size and least id."""
+    rows = classes.select("doc_id", F.posexplode("keys").alias("tree", "bucket"))
+    return rows.join(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub")).where("n > 1"), "bucket")
+
+
 def forest_rows(classes: DataFrame) -> DataFrame:
-    """A row per class and tree in which it shares a bucket. Signatures join after the lone rows have
-    gone. A hot bucket's rows are dealt by id, with its least id in each part."""
-    rows = classes.select("doc_id", F.posexplode("keys").alias("tree", "key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub")).where("n > 1")
-    met = rows.join(shared, "key")
+    """The rows of shared buckets. Signatures join after the lone rows have gone. A hot bucket's rows
+    are dealt by id, in each tree in another way, with its least id in each part."""
     parts = F.ceil(F.col("n") / HOT).cast("int")
-    part = F.when(F.col("n") <= HOT, F.array(F.lit(0))).when(F.col("doc_id") == F.col("hub"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), parts).cast("int")))
-    dealt = met.select("doc_id", "tree", "key", F.explode(part).alias("part")).select("doc_id", "tree", F.when(F.col("part") == 0, F.col("key")).otherwise(F.xxhash64("key", "part")).alias("key"))
+    part = F.when(F.col("n") <= HOT, F.array(F.lit(0))).when(F.col("doc_id") == F.col("hub"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "tree"), parts).cast("int")))
+    dealt = shared_buckets(classes).select("doc_id", "tree", "bucket", "n", F.explode(part).alias("part"))
+    dealt = dealt.withColumn("key", F.when(F.col("part") == 0, F.col("bucket")).otherwise(F.xxhash64("bucket", "part"))).drop("part")
     return dealt.join(classes.select("doc_id", "sketch"), "doc_id")
 
 
+def across(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): every candidate of a bucket whose ends are in different components.
+
+    rows: doc_id, bucket, component. Of two such ends one at least is outside the bucket's largest
+    component: these meet all members of the bucket, in cells of at most about HOT against HOT.
+    """
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            ids, groups, probe = (table[c].to_numpy() for c in ("doc_id", "component", "probe"))
+            sketch, borders = _opened(table)
+            for lo, hi in zip(borders[:-1].tolist(), borders[1:].tolist()):
+                left, right = (lo + np.flatnonzero(probe[lo:hi] == x) for x in (1, 0))
+                for p in range(0, len(left), 128):
+                    for q in range(0, len(right), 1024):
+                        x, y = left[p : p + 128], right[q : q + 1024]
+                        other = groups[x][:, None] != groups[y]
+                        if not other.any():
+                            continue
+                        i, j = np.nonzero(other & (agreement(sketch[x], sketch[y]) >= AGREE))
+                        if len(i):
+                            a, b = ids[x[i]], ids[y[j]]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+
+        return by_key(batches, found)
+
+    kinds = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    sizes = kinds.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
+    met = rows.join(sizes, "bucket")
+    blocks, stripes = F.ceil(F.col("n") / HOT).cast("int"), F.ceil((F.col("n") - F.col("main.n")) / HOT).cast("int")
+    own = lambda count, salt: F.pmod(F.xxhash64("doc_id", "bucket", F.lit(salt)), count).cast("int")
+    member = F.transform(F.sequence(F.lit(0), stripes - 1), lambda s: F.struct(F.lit(0).alias("probe"), own(blocks, 0).alias("block"), s.alias("stripe")))
+    probes = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(F.lit(1).alias("probe"), b.alias("block"), own(stripes, 1).alias("stripe")))
+    cells = F.when(F.col("component") == F.col("main.component"), member).otherwise(F.concat(member, probes))
+    dealt = met.select("doc_id", "component", "bucket", F.explode(cells).alias("c")).select("doc_id", "component", "c.probe", F.xxhash64("bucket", "c.block", "c.stripe").alias("key"))
+    full = dealt.join(classes.select("doc_id", "sketch"), "doc_id").select("key", "probe", "doc_id", "component", "sketch")
+    return full.repartition("key").sortWithinPartitions("key").mapInArrow(search, "a long, b long").distinct()
+
+
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,19 +294,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     ids = heads.where("n_shingles > 3").select(F.col("head").alias("doc_id"))  # smaller sets only link to equal ones
     classes = usable.join(ids.distinct(), "doc_id", "left_semi").select("doc_id", "sketch", "keys")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
-    rows = forest_rows(classes)
-    first = written(candidates(rows, False), "candidates")
+    first = written(candidates(forest_rows(classes)), "candidates")
     pairs = first.where("a is not null").select("a", "b").distinct()
     sets = sets_of(pairs, texts, words)
     links = written(confirmed(pairs, sets, percent), "links")
-    held = first.where("held is not null").select(F.col("held").alias("key")).distinct()
+    held = first.where("held is not null").select(F.col("held").alias("bucket")).distinct()
     if not held.isEmpty():
         groups = components(links)
-        again = rows.join(held, "key", "left_semi").join(groups, F.col("doc_id") == F.col("id"), "left").withColumn("component", F.coalesce("component", "doc_id"))
-        rest = written(candidates(again, True).select("a", "b").distinct(), "candidates").join(pairs, ["a", "b"], "left_anti")
-        rest = written(rest, "rest")
+        again = shared_buckets(classes).join(held, "bucket", "left_semi").select("doc_id", "bucket").join(groups, F.col("doc_id") == F.col("id"), "left").select("doc_id", "bucket", F.coalesce("component", "doc_id").alias("component"))
+        rest = written(across(again, classes).join(pairs, ["a", "b"], "left_anti"), "rest")
         if not rest.isEmpty():
-            # whatever is a candidate now had its nearest ones passed on before: its set is there
+            ends = rest.select(F.col("a").alias("id")).union(rest.select(F.col("b").alias("id"))).distinct()
+            new = written(ends.join(sets.select("id"), "id", "left_anti"), "ids")
+            if not new.isEmpty():  # a split or a deal had left them without a pair
+                sets = sets.union(sets_of(new.select(F.col("id").alias("a"), F.col("id").alias("b")), texts, words))
             links = written(links.union(confirmed(rest, sets, percent)), "links")
     groups = components(links)
     member = table.join(heads, same, "left").join(groups, F.col("head") == F.col("id"), "left")

@@ -204,6 +204,24 @@ def test_op5_dense_group(spark):
     assert got == owner
 
 
+def test_op5_pairs_of_a_hot_bucket(spark):
+    """More than HOT members of one bucket, alike in pairs only: the two passes find every pair."""
+    n = o5.HOT + 404
+    rng = np.random.default_rng(8)
+    sketch = rng.integers(0, 256, (n, o5.K), np.uint8)
+    sketch[1::2] = sketch[::2]
+    for k in range(1, n, 2):
+        sketch[k, rng.choice(o5.K, 100, replace=False)] = rng.integers(0, 256, 100)
+    classes = spark.createDataFrame([(k, [7], bytearray(x.tobytes())) for k, x in enumerate(sketch)], "doc_id long, keys array<long>, sketch binary").cache()
+    first = o5.candidates(o5.forest_rows(classes)).collect()
+    assert {r.held for r in first if r.a is None} == {7}
+    found = {(r.a, r.b) for r in first if r.a is not None}
+    groups = [(k, 7, k - k % 2 if (k - k % 2, k - k % 2 + 1) in found else k) for k in range(n)]
+    more = {(r.a, r.b) for r in o5.across(spark.createDataFrame(groups, "doc_id long, bucket long, component long"), classes).collect()}
+    want = {(k, k + 1) for k in range(0, n, 2)}
+    assert len(found) < len(want) and found | more == want and not found & more
+
+
 def test_op7(spark, none):
     pages = [(1, "u", "<a>"), (2, "u\r\nv", "<a>"), (3, None, None), (4, "u", ""), (5, "u", "é" * 9), (None, "u", "<a>"), (5, "w", "é" * 9)]
     df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, sha1 string")
