@@ -1,9 +1,10 @@
 """Benchmark decontamination on templates.
 
 Numbers, names and units become typed placeholders, so a question with other numbers or names has
-the same template. Windows of WINDOW template words of the documents are looked up in a hash index
-of the benchmark's windows; the windows of one item that lie on one diagonal of a document make a
-match. Along it, every slot's value in the item must always stand for the same value in the
+the same template. Adjoining number or name words are one slot, and a capital that begins a sentence
+or a line is read both as a name and as a word. Windows of WINDOW template words of the documents are
+looked up in a hash index of the benchmark's windows; the windows of one item that follow each other
+in a document, on one diagonal or on neighbouring ones, make a match. Along it, every slot's value in the item must always stand for the same value in the
 document and the other way round; a match whose slots contradict each other is not reported.
 
 The benchmark is taken in blocks of bounded size, each sent to the executors, and all documents are
@@ -12,6 +13,7 @@ scanned for each block (one block for any usual benchmark).
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import struct
@@ -33,6 +35,9 @@ BLOCK_CHARS = 50_000_000
 _NUMBER = re.compile(r"[-+$€£]?\d[\d.,:/]*(?:st|nd|rd|th|s|%)?")
 _NUMBER_WORDS = "one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split()
 _UNITS = "mm cm m km in ft yd mi mg g kg lb lbs oz ml l s sec min h hr hours minutes seconds days weeks months years meters metres kilometers grams kilograms liters litres miles feet inches pounds dollars euros cents percent mph kmh kph".split()
+#: Words that begin sentences and are no part of a name.
+_COMMON = set("""a an the if when while where how what which who whose why each every all some in on at by for from to of and or but so then there this that these those he she it they we you i his her its their our my your is are was were do does did has have had can could will would after before during suppose assume given find let
+der die das ein eine wenn wie was wer er sie es wir ihr und oder aber in im auf für von zu nach le la les un une si quand comment il elle on nous vous ils et ou mais dans pour de du des el los las una cuando como qué ella y o pero en para""".split()) - {"will"}
 _TRIM = ".,;:!?\"'()[]{}«»„“”"
 NUM, NAME, UNIT = "\x02n", "\x02p", "\x02u"
 
@@ -41,7 +46,7 @@ def placeholder(word: str, starts: bool) -> str:
     """The template word of a word; starts: it begins a sentence, where a capital says nothing."""
     core = word.strip(_TRIM)
     low = core.lower()
-    if _NUMBER.fullmatch(core) or low in _NUMBER_WORDS:
+    if _NUMBER.fullmatch(core) or all(w in _NUMBER_WORDS for w in low.split("-")):
         return NUM
     if low in _UNITS:
         return UNIT
@@ -50,46 +55,87 @@ def placeholder(word: str, starts: bool) -> str:
     return low
 
 
-def template(text: str | None) -> tuple[list[str], list[str]]:
-    """The words of a text and their template words; words of punctuation alone are left out."""
-    words, kinds, starts = [], [], True
-    for line in (text or "").split("\n"):
-        starts = True
-        for word in line.split():
-            if word.strip(_TRIM):
-                words.append(word)
-                kinds.append(placeholder(word, starts))
-            starts = word[-1] in ".!?:"
-    return words, kinds
-
-
 def code(kind: str) -> int:
     return int.from_bytes(hashlib.blake2b(kind.encode("utf-8", "replace"), digest_size=8).digest(), "little") or 1
 
 
-#: word -> its code inside a sentence, its code at the start of one, and whether a start follows.
+_NAME_CODE, _NUM_CODE = code(NAME), code(NUM)
+_GAP, _STOP, _TRAIL, _LEAD, _USUAL = 1, 2, 4, 8, 16
+#: word -> its code inside a sentence, its code at the start of one, and flags.
 _WORDS: dict[str, bytes] = {}
 _BREAK = "\x03"
 
 
+def _known(w: str) -> bytes:
+    if w == _BREAK or not w.strip(_TRIM):
+        inside = start = 0
+    else:
+        inside = code(placeholder(w, False))
+        start = inside if w[:1].islower() else code(placeholder(w, True))
+    flags = _GAP * (w == _BREAK) + _STOP * (w[-1] in ".!?:") + _TRAIL * (w[-1] in _TRIM) + _LEAD * (w[0] in _TRIM) + _USUAL * (w.strip(_TRIM).lower() in _COMMON)
+    return struct.pack("<3Q", inside, start, flags)
+
+
+class Reading:
+    """The template words of a text: codes, and maybe[k] where a word can be a name as well.
+
+    at[k] is the first of the text's words (those of punctuation alone left out) that template word
+    k stands for. Each distinct word is looked at once per worker.
+    """
+
+    def __init__(self, text: str | None):
+        words = (text or "").replace("\n", f" {_BREAK} ").split()
+        if len(_WORDS) > 400_000:
+            _WORDS.clear()
+        for w in set(words).difference(_WORDS):
+            _WORDS[w] = _known(w)
+        table = np.frombuffer(b"".join(map(_WORDS.__getitem__, words)), "<u8").reshape(-1, 3)
+        flags, place = table[:, 2], np.arange(len(words))
+        gap = flags & _GAP != 0
+        last = np.concatenate(([-1], np.maximum.accumulate(np.where(gap, -1, place))[:-1])) if words else place
+        breaks = place - 1 - last
+        hard = (last < 0) | (breaks > 1) | (flags[last] & _STOP != 0) if words else gap
+        kept = np.flatnonzero(table[:, 0])
+        inside, start, flags, last, breaks, hard = (x[kept] for x in (table[:, 0], table[:, 1], flags, last, breaks, hard))
+        capital, common = inside == _NAME_CODE, flags & _USUAL != 0
+        begins = hard | (breaks > 0)
+        # adjoining words of one slot
+        after = np.zeros(len(kept), bool)
+        if len(kept) > 1:
+            near = (last[1:] == kept[:-1]) & (flags[:-1] & _TRAIL == 0) & (flags[1:] & _LEAD == 0) & (breaks[1:] < 2)
+            named = capital & ~(begins & common)
+            after[1:] = near & (((inside[1:] == _NUM_CODE) & (inside[:-1] == _NUM_CODE)) | (named[1:] & named[:-1] & ~hard[1:]))
+        first = np.flatnonzero(~after)
+        runs = np.diff(np.append(first, len(kept))) > 1
+        self.at, self.n = first, len(kept)
+        self.codes = np.where(begins & ~(runs_of(runs, first, len(kept)) & capital), start, inside)[first]
+        self.maybe = (begins & capital & ~common & ~runs_of(runs, first, len(kept)))[first]
+        self._words, self._kept, self._begins, self._runs = words, kept, begins, runs
+
+    def told(self) -> tuple[list[str], list[str]]:
+        """What each template word stands for, and the template words."""
+        words = [self._words[k] for k in self._kept.tolist()]
+        ends = np.append(self.at, self.n).tolist()
+        values = [" ".join(w.strip(_TRIM) for w in words[a:b]) for a, b in zip(ends, ends[1:])]
+        begins = self._begins.tolist()
+        return values, [placeholder(words[a], begins[a] and not run) for a, run in zip(ends, self._runs.tolist())]
+
+
+def runs_of(runs: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+    """``runs`` at the first words of slots, for all n words."""
+    out = np.zeros(n, bool)
+    out[first] = runs
+    return out
+
+
+def template(text: str | None) -> tuple[list[str], list[str]]:
+    """What each template word of a text stands for, and the template words."""
+    return Reading(text).told()
+
+
 def quick_codes(text: str) -> np.ndarray:
-    """The codes of ``template(text)``: each distinct word is looked at once per worker."""
-    words = text.replace("\n", f" {_BREAK} ").split()
-    if len(_WORDS) > 400_000:
-        _WORDS.clear()
-    for w in set(words).difference(_WORDS):
-        if w == _BREAK or not w.strip(_TRIM):
-            inside = start = 0
-        else:
-            inside = code(placeholder(w, False))
-            start = inside if w[:1].islower() else code(placeholder(w, True))
-        _WORDS[w] = struct.pack("<3Q", inside, start, w == _BREAK or w[-1] in ".!?:")
-    if not words:
-        return np.zeros(0, np.uint64)
-    table = np.frombuffer(b"".join(map(_WORDS.__getitem__, words)), "<u8").reshape(-1, 3)
-    starts = np.concatenate(([True], table[:-1, 2] != 0))
-    codes = np.where(starts, table[:, 1], table[:, 0])
-    return codes[codes != 0]
+    """The codes of ``template(text)``."""
+    return Reading(text).codes
 
 
 class Index:
@@ -100,12 +146,14 @@ class Index:
         self.count: dict[int, int] = {}
         entries = []
         for item, text in items:
-            words, kinds = template(text)
-            if not words:
+            read = Reading(text)
+            size = min(window, len(read.codes))
+            if not size:
                 continue
-            n = max(1, len(words) - window + 1)
-            self.count[item], self.words[item] = n, (words, kinds)
-            entries += [(h, item, k) for k, h in enumerate(self.hashes(kinds).tolist())]
+            n = len(read.codes) - size + 1
+            self.count[item], self.words[item] = n, (*read.told(), read.maybe.tolist())
+            at, h = self.readings(read, size)
+            entries += [(x, item, k) for k, x in zip(at.tolist(), h.tolist())]
         self.at = defaultdict(list)
         for h, item, k in entries:
             self.at[h].append((item, k))
@@ -119,10 +167,6 @@ class Index:
     def codes(kinds: list[str]) -> np.ndarray:
         return np.array([code(k) for k in kinds], np.uint64)
 
-    def hashes(self, kinds: list[str], size: int | None = None) -> np.ndarray:
-        size = min(size or self.window, max(1, len(kinds)))
-        return self.windows(self.codes(kinds), size)
-
     @staticmethod
     def windows(codes: np.ndarray, size: int) -> np.ndarray:
         n = len(codes) - size + 1
@@ -131,48 +175,114 @@ class Index:
             h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n]
         return mix(h)
 
+    @classmethod
+    def readings(cls, read: Reading, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Start and hash of every window, in all readings of its words that may be names."""
+        codes, maybe = read.codes, read.maybe
+        n = len(codes) - size + 1
+        at, h = np.arange(n), np.full(n, size, np.uint64)
+        for k in range(size):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n]
+        if maybe.any():
+            power = np.uint64(1)
+            for k in range(size - 1, -1, -1):
+                some = np.flatnonzero(maybe[at + k])
+                more = h[some] + (np.uint64(_NAME_CODE) - codes[at[some] + k]) * power
+                at, h = np.concatenate((at, at[some])), np.concatenate((h, more))
+                power = np.uint64(int(power) * 0x9E3779B97F4A7C15 % 2**64)
+        return at, mix(h)
+
     def matches(self, text: str | None) -> list[tuple]:
         """(item, first word, words, windows found, item's windows, slots changed) of the accepted matches."""
         if not text or not len(self.sorted):
             return []
-        codes, hits = quick_codes(text), {}
+        read, seen = Reading(text), defaultdict(set)
         for size in {self.window, *self.short}:
-            if len(codes) >= size:
-                h = self.windows(codes, size)
+            if len(read.codes) >= size:
+                start, h = self.readings(read, size)
                 at = np.flatnonzero(self.some[(h >> np.uint64(44)).astype(np.int64)])
                 p = np.minimum(np.searchsorted(self.sorted, h[at]), len(self.sorted) - 1)
                 at = at[self.sorted[p] == h[at]]
-                if len(at):
-                    hits[size] = list(zip(at.tolist(), h[at].tolist()))
-        if not hits:
+                for i, x in zip(start[at].tolist(), h[at].tolist()):
+                    for item, k in self.at[x]:
+                        if min(self.window, len(self.words[item][0])) == size:
+                            seen[item].add((k, i))
+        if not seen:
             return []
-        words, kinds = template(text)
-        seen = defaultdict(list)
-        for size, found in hits.items():
-            for i, h in found:
-                for item, k in self.at[h]:
-                    if min(self.window, len(self.words[item][0])) == size:
-                        seen[item, i - k].append(k)
+        told, ends = (*read.told(), read.maybe.tolist()), np.append(read.at, read.n).tolist()
         best = {}
-        for (item, shift), found in seen.items():
-            own, own_kinds = self.words[item]
-            lo, hi = min(found), min(max(found) + self.window, len(own))
-            there, back, changed = {}, {}, 0
-            good = 0 <= shift + lo and shift + hi <= len(words)
-            for k in range(lo, hi):
-                if own_kinds[k][0] != "\x02" or not 0 <= shift + k < len(words) or kinds[shift + k] != own_kinds[k]:
-                    continue
-                a, b = own[k].strip(_TRIM), words[shift + k].strip(_TRIM)
-                good = good and there.setdefault((own_kinds[k], a), b) == b and back.setdefault((own_kinds[k], b), a) == a
-                changed += a != b
-            # with other values in its slots a match must rest on words: placeholders alone are in any text
-            good = good and (not changed or 2 * sum(own_kinds[k][0] == "\x02" for k in range(lo, hi)) <= hi - lo)
-            if good and (len(found) >= SHARE * self.count[item] or len(found) >= MANY):
-                row = (item, shift + lo, hi - lo, len(found), self.count[item], changed)
-                if item not in best or row[3] > best[item][3]:
+        for item, found in seen.items():
+            for way in ways(found, self.window):
+                row = self.accepted(item, way, told, ends)
+                if row and (item not in best or row[3] > best[item][3]):
                     best[item] = row
         return sorted(best.values())
 
+    def accepted(self, item: int, way: list[tuple[int, int]], told: tuple, ends: list[int]) -> tuple | None:
+        """The match of windows (item's place, document's place) that follow each other, if it is one."""
+        (own, own_kinds, own_maybe), (words, kinds, maybe) = self.words[item], told
+        size, bridged, pairs = min(self.window, len(own)), 0, {}
+        for n, (k, i) in enumerate(way):
+            pairs.update((k + j, i + j) for j in range(size))
+            if n:
+                k0, i0 = way[n - 1]
+                if k - k0 <= size + 1 and i - i0 <= 2 * size:
+                    bridged += k - k0 - 1  # the windows that one word added, left out or replaced spoils
+                if k - k0 == i - i0:
+                    pairs.update((k0 + j, i0 + j) for j in range(k - k0))
+        there, back, changed, slots = {}, {}, 0, 0
+        for k, i in pairs.items():
+            a, b = own[k], words[i]
+            kind = own_kinds[k]
+            if kind != kinds[i]:
+                name = (own_maybe[k] or kind == NAME) and (maybe[i] or kinds[i] == NAME)
+                kind = NAME if name else ""
+            if kind[:1] != "\x02":
+                continue
+            if there.setdefault((kind, a), b) != b or back.setdefault((kind, b), a) != a:
+                return None
+            slots += 1
+            changed += a != b
+        lo, hi = min(pairs), max(pairs) + 1
+        # with other values in its slots a match must rest on words: placeholders alone are in any text
+        if changed and 2 * slots > hi - lo or len(way) + bridged < SHARE * self.count[item] and len(way) < MANY:
+            return None
+        first = ends[way[0][1]]
+        return item, first, ends[way[-1][1] + size] - first, len(way), self.count[item], changed
+
+
+def ways(found: set[tuple[int, int]], window: int) -> Iterator[list[tuple[int, int]]]:
+    """The windows of every diagonal, and the longest rising sequence of each group of neighbouring ones."""
+    lines = defaultdict(list)
+    for k, i in sorted(found):
+        lines[i - k].append((k, i))
+    yield from lines.values()
+    group: list[int] = []
+    for d in [*sorted(lines), None]:
+        if group and (d is None or d - group[-1] > window):
+            if len(group) > 1:
+                yield rising(sorted((x for g in group for x in lines[g]), key=lambda x: (x[0], -x[1])))
+            group = []
+        group.append(d)
+
+
+def rising(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest sequence that rises in both; points come by rising first and falling second."""
+    tails, last, before = [], [], []
+    for n, (_, i) in enumerate(points):
+        p = bisect.bisect_left(tails, i)
+        before.append(last[p - 1] if p else -1)
+        if p == len(tails):
+            tails.append(i)
+            last.append(n)
+        else:
+            tails[p], last[p] = i, n
+    out, n = [], last[-1]
+    while n >= 0:
+        out.append(points[n])
+        n = before[n]
+    return out[::-1]
+
 
 def blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
     """Items in blocks of at most ``limit`` characters (one item at least)."""
@@ -191,8 +301,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
     """A row per document and item it holds: doc_id, text_hash, item_id, first_word, n_words,
     n_windows, item_windows, slots_changed.
 
-    A document holds an item if half of the item's windows, or MANY, are found on one diagonal
-    with consistent slots; where slot values differ, at least half of the matched words must be no
+    A document holds an item if half of the item's windows, or MANY, are found on one diagonal or
+    in order on neighbouring ones, with consistent slots; windows that one changed word between two
+    found ones spoils count for the half. Where slot values differ, at least half of the matched words must be no
     slots. An item shorter than a window must be found whole. Null or empty texts,
     on either side, match nothing; items without an id are left out; rows that share an id are
     each reported (their text_hash tells them apart). Other columns are ignored. An empty table on

@@ -287,6 +287,24 @@ def test_op9_quick_codes_are_the_template():
         assert (o9.quick_codes(t or "") == o9.Index.codes(o9.template(t)[1])).all()
 
 
+def test_op9_names_at_starts_longer_values_and_edits():
+    """Other names at sentence starts, values of more words, one word more, and lines wrapped anew."""
+    item = "Tom has 12 apples in a basket. Anna buys 25 more and puts them there. How many apples are in it now?"
+    index = o9.Index([(1, item)], 8)
+    same = [
+        "Max has 7 apples in a basket. Eva buys 31 more and puts them there. How many apples are in it now?",
+        "Mary Ann has 7 apples in a basket. Eva buys twenty five more and puts them there. How many apples are in it now?",
+        "well. Max has 7 apples in a basket. Eva\nbuys 31 more\nand puts them there. How many apples are in it now?",
+        "Max has 7 apples in a basket. Eva buys 31 more and then puts them there. How many apples are in it now?",
+    ]
+    assert all(index.matches(t) for t in [item, *same])
+    assert not index.matches("Max sold 7 pears at the market. Eva wants 31 more and sells them there today. Who has most of it now?")
+    short = "Tom has 12 apples. Anna buys 5 more."
+    assert o9.Index([(1, short)], 8).matches("Max has 7 apples. Eva buys 3 more.") == [(1, 0, 8, 1, 1, 4)]
+    words = "a jar holds red beads and green beads until someone takes half of the red ones out again"
+    assert o9.Index([(1, words)], 8).matches(words.replace("until", "safely until"))
+
+
 def test_op10_plan_places_all_pieces():
     r = random.Random(4)
     h = Counter(r.randint(1, 64) for _ in range(500))
