@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +31,10 @@ def statistics(text: bytes | None) -> np.ndarray:
     count = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     letters = max(1, int(count[_UPPER].sum() + count[_LOWER].sum()))
     lengths = np.fromiter(map(len, words), np.int32, n)
-    distinct = set(words)
+    times = Counter(words)
     lines = [x for x in text.split(b"\n") if x.strip()]
-    some = words if len(distinct) > n // 3 else None
-    top = 0.0 if some else max(words.count(w) for w in list(distinct)[:20]) / n
     return np.array([
-        np.log(n), lengths.mean(), len(distinct) / n, top, count[_UPPER].sum() / letters, count[_DIGIT].sum() / size,
+        np.log(n), lengths.mean(), len(times) / n, max(times.values()) / n, count[_UPPER].sum() / letters, count[_DIGIT].sum() / size,
         count[_MARKS].sum() / n, min(3.0, count[_SYMBOLS].sum() / n), min(3.0, count[33] / n), min(3.0, count[124] / n), (count[128:].sum()) / size, count[:9].sum() / size,
         np.log(n / len(lines)), 1 - len(set(lines)) / len(lines), sum(x.rstrip()[-1] in b".!?" for x in lines) / len(lines), (lengths > 15).mean(), (lengths == 1).mean(),
         count[np.frombuffer(b"aeiouAEIOU", np.uint8)].sum() / letters,

@@ -22,7 +22,7 @@ from runnel.llm import op8_rlz_dedup as o8
 from runnel.llm import op9_decontamination as o9
 from runnel.llm import op10_packing as o10
 from runnel.llm.common import new_folder, tokenizer
-from runnel.llm.features import isotonic
+from runnel.llm.features import NAMES, isotonic, statistics
 
 SCHEMA = "doc_id long, text string, score double, value string, n long, part int, id long, h long"
 
@@ -132,6 +132,15 @@ def test_op3_op6_learn(spark):
         assert len(got) > 50 and np.mean([got[k] == dict(truth)[k] for k in got]) > 0.95
 
 
+def test_op3_top_share_is_the_most_frequent_word():
+    r = random.Random(6)
+    for n, kinds in ((30, 40), (400, 60), (3000, 500)):
+        w = [f"w{r.randrange(kinds)}" for _ in range(n)] + ["often"] * (n // 4)
+        r.shuffle(w)
+        assert statistics(" ".join(w).encode())[NAMES.index("top_share")] == max(Counter(w).values()) / len(w)
+    assert statistics(b"a b c d a")[NAMES.index("top_share")] == 0.4
+
+
 def test_isotonic_rises():
     xs, ys = isotonic([(float(k), 1.0, float(k in (2, 5, 6, 8, 9))) for k in range(10)])
     assert ys == sorted(ys) and len(xs) == len(ys)
