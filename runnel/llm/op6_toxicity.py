@@ -68,10 +68,11 @@ class Features:
         hits = sum(times[w] for w in found) + len(bent)
         near = 0
         if found or begun:
-            seconds = np.array([k for k, w in enumerate(words) if w in SECOND] or [-10**6])
+            seconds = np.array([-10**6, *(k for k, w in enumerate(words) if w in SECOND), 10**9])
             at = np.array([k for k, w in enumerate(words) if w in found or w in begun])
-            near = int((np.abs(seconds[None, :1000] - at[:1000, None]).min(1) <= 5).sum()) if len(at) else 0
-        upper = sum(map(str.isupper, text)) if len(text) < 400 else sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+            p = np.searchsorted(seconds, at)
+            near = int((np.minimum(seconds[p] - at, at - seconds[p - 1]) <= 5).sum())
+        upper = sum(map(str.isupper, text))
         return [
             np.log(n), hits, hits / n, sum(found[w] * times[w] for w in found) / n, max(found.values(), default=0.0), len(found), sum(times[w] for w in begun), sum(begun[w] * times[w] for w in begun) / n,
             max(begun.values(), default=0.0), sum(times[w] for w in found if w in self.base) + len(bent), near, sum(words.count(w) for w in SECOND & distinct) / n,

@@ -141,6 +141,18 @@ def test_op3_top_share_is_the_most_frequent_word():
     assert statistics(b"a b c d a")[NAMES.index("top_share")] == 0.4
 
 
+def test_op6_features_of_long_texts():
+    """An insult after a thousand second-person words counts, and so do all capitals at every length."""
+    at = o6.NAMES.index
+    features = o6.Features({"glurp": 3.0})
+    far = "you are fine here and all is well with the day " * 1500
+    assert features((far + "you glurp").encode())[at("near_second")] == 1
+    assert features((far + "x " * 9 + "glurp").encode())[at("near_second")] == 0
+    assert features(("you glurp " * 1200).encode())[at("near_second")] == 1200
+    short, long = (features(("Éa Ñb Cd ef " * k).encode())[at("upper")] for k in (3, 300))
+    assert short == long == 0.25
+
+
 def test_isotonic_rises():
     xs, ys = isotonic([(float(k), 1.0, float(k in (2, 5, 6, 8, 9))) for k in range(10)])
     assert ys == sorted(ys) and len(xs) == len(ys)
