@@ -28,6 +28,8 @@ KINDS = list(BASE)
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _OWN = "A-Za-z0-9._%+@#/-"
 CANDIDATE = rf"(?:(?<![{_OWN}])|\G)[A-Za-z._%+#/-]*+[0-9@][{_OWN}]*+"
+#: Candidates of digit groups with spaces or brackets between them.
+WIDE = rf"(?:(?<![{_OWN}])|\G)[(+]*+[0-9]++(?:(?:[)] ?|[ ./-][(]?|[(])[0-9]++)++(?![{_OWN}])"
 
 #: Rounds of scoring; seeds a pattern needs; confidence a value needs; values counted against each pattern.
 ROUNDS, SUPPORT, CONFIDENCE, DOUBT = 3, 5, 0.8, 1.0
@@ -60,22 +62,22 @@ def spans(kind: str, pattern: str) -> Column:
     )
     none = "cast(array() AS array<struct<s: int, k: int, e: int, kind: string, v: string>>)"
     # texts that lack what every match has are not scanned
-    need = {"email": "instr(text, '@') > 0", "ip": "text rlike '[0-9][.][0-9]'", "card": "text rlike '[0-9]{4}|[0-9][ -][0-9]'", "phone": "instr(text, '+') > 0", "candidate": "text rlike '[0-9]{2}|@'"}
+    need = {"email": "instr(text, '@') > 0", "ip": "text rlike '[0-9][.][0-9]'", "card": "text rlike '[0-9]{4}|[0-9][ -][0-9]'", "phone": "instr(text, '+') > 0", "candidate": "text rlike '[0-9@]'"}
     return F.expr(f"if({need[kind]}, {step}, {none})")
 
 
 def found(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, base (sorted spans), near (candidates outside them), each with the words around it."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", *[spans(k, p).alias(k) for k, p in BASE.items()], spans("candidate", CANDIDATE).alias("other"))
+    rows = rows.select("doc_id", "text", *[spans(k, p).alias(k) for k, p in BASE.items()], F.array_union(spans("candidate", CANDIDATE), spans("candidate", WIDE)).alias("other"))
     rows = rows.select("doc_id", "text", F.sort_array(F.concat(*KINDS)).alias("b"), "other")
     # beyond this many base spans in one text the overlap test would be quadratic: runs are tested by position instead
     outside = F.expr("filter(other, c -> NOT exists(b, x -> x.s < c.e AND c.s < x.e))")
     rows = rows.select("doc_id", "text", "b", F.when(F.size("other") > 0, outside).otherwise(F.col("other")).alias("c"))
     around = (
         "transform({0}, x -> struct(x.s AS s, x.k AS k, x.e AS e, x.kind AS kind, x.v AS v, "
-        "lower(regexp_extract(substring(text, greatest(1, x.s - 39), least(40, x.s)), '([^\\\\s]{{1,30}})\\\\s+$', 1)) AS l, "
-        "lower(regexp_extract(substring(text, x.e + 1, 40), '^[.,;:]?\\\\s+([^\\\\s]{{1,30}})', 1)) AS r))"
+        "lower(regexp_extract(substring(text, greatest(1, x.s - 39), least(40, x.s)), '([^\\\\s\\\\x22\\\\x27\\\\x7B\\\\x7D\\\\x5B\\\\x5D()<>=:,;]{{1,30}})[\\\\s\\\\x22\\\\x27\\\\x7B\\\\x7D\\\\x5B\\\\x5D()<>=:,;]+$', 1)) AS l, "
+        "lower(regexp_extract(substring(text, x.e + 1, 40), '^[\\\\s.\\\\x22\\\\x27\\\\x7B\\\\x7D\\\\x5B\\\\x5D()<>=:,;]+([^\\\\s\\\\x22\\\\x27\\\\x7B\\\\x7D\\\\x5B\\\\x5D()<>=:,;]{{1,30}})', 1)) AS r))"
     )
     return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.expr(around.format("b")).alias("base"), F.expr(around.format("c")).alias("near"))
 
@@ -95,14 +97,15 @@ def learned(table: DataFrame) -> DataFrame:
     """(value, new_kind, score) of unseen values that patterns of high confidence reach."""
     edges = written(_edges(table), "edges")
     seeds = edges.where("kind is not null").select("value", "kind").distinct()
-    # patterns without enough seeds can never count: they and what only they reach leave the graph
-    strong = edges.where("kind is not null").groupBy("pattern").agg(F.countDistinct("value").alias("n")).where(F.col("n") >= SUPPORT).select("pattern")
-    graph = written(edges.join(strong, "pattern").select("pattern", "value").distinct(), "graph")
+    # patterns of too few values can never count: they leave the graph
+    large = edges.groupBy("pattern").agg(F.countDistinct("value").alias("n")).where(F.col("n") >= SUPPORT).select("pattern")
+    graph = written(edges.join(large, "pattern").select("pattern", "value").distinct(), "graph")
+    total = graph.groupBy("pattern").agg(F.count("*").alias("n"))
     known = seeds.withColumn("score", F.lit(1.0))
     scored = None
-    for _ in range(ROUNDS):
-        total = graph.groupBy("pattern").agg(F.count("*").alias("n"))
-        good = graph.join(known, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("good"))
+    for _ in range(ROUNDS):  # what the last round was sure of counts among a pattern's seeds
+        sure = F.sum((F.col("score") >= CONFIDENCE).cast("int"))
+        good = graph.join(known, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("good"), sure.alias("sure")).where(F.col("sure") >= SUPPORT)
         confidence = good.join(total, "pattern").select("pattern", "kind", (F.col("good") / (F.col("n") + DOUBT)).alias("c"))
         reach = graph.join(seeds.select("value").distinct(), "value", "left_anti").join(confidence, "pattern").groupBy("value", "kind").agg(F.max("c").alias("score"))
         scored = written(reach, "scores")

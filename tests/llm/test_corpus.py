@@ -103,6 +103,20 @@ def test_op2_contexts_discover_a_failing_card(spark):
     assert got[0] == (1, 1) and got[100] == (0, 1) and got[101][1] == 0
 
 
+def test_op2_contexts_reach_other_forms(spark):
+    """A spaced card that fails its check, a bracketed number, a value behind a colon, one in quotes."""
+    rows = [(k, f"call tel +1 (017) 555-{7000 + k} now") for k in range(30)]
+    rows += [(100 + k, f'{{"mail":"user{k}@site.org"}}') for k in range(30)]
+    rows += [(200 + k, f"card {4000 + k} 1111 1111 1112 ok") for k in range(40)]
+    rows += [(500, 'TOKEN="9233A8-77"'), (501, "tel:5551234567"), (502, "tel (017) 555-7713 end"), (503, "id A1-B2-C3-D4 x")]
+    got = {r.doc_id: r for r in o2.found(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = {i: {o.v: (o.l, o.r) for o in got[i].near} for i in (500, 501, 502, 503)}
+    assert near[500]["9233A8-77"][0] == "token" and near[501]["5551234567"][0] == "tel"
+    assert near[502]["(017) 555-7713"] == ("tel", "end") and near[503]["A1-B2-C3-D4"] == ("id", "x")
+    assert got[100].base[0].l == "mail"
+    assert all(f"{4000 + k} 1111 1111 1112" in {o.v for o in (*got[200 + k].near, *got[200 + k].base)} for k in range(40))
+
+
 @pytest.mark.parametrize("scores", [lambda d, lab: o3.quality_scores(d, lab), lambda d, lab: o6.toxicity_scores(d, lab)])
 def test_op3_op6_odd_tables(spark, docs, none, scores):
     labels = spark.createDataFrame([(k, float(k % 2)) for k in (1, 2, 3, 4, 8, 10, 11, 13)], "doc_id long, y double")
