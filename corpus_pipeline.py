@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runnel.llm.common import discard_unread, documents, written
+from runnel.llm.common import documents, stage_scope, written
 from runnel.llm.features import label_table
 from runnel.llm.op2_pii import redacted
 from runnel.llm.op5_lsh_forest import near_duplicates
@@ -27,35 +27,35 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go. An id with several rows goes if one of them does; rows
     with a null id stay. All columns are kept."""
-    discard_unread(spark, docs)
-    scores = toxicity_scores(docs, label_table(spark, sf_dir, "toxic"))
-    return _without(docs, scores.where("predicted = 1"))
+    with stage_scope(spark, docs):
+        scores = toxicity_scores(docs, label_table(spark, sf_dir, "toxic"))
+        return _without(docs, scores.where("predicted = 1"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the
     least id stays. Texts without words and rows with a null id stay; of rows that share an id and
     are near-duplicates of nothing with a lesser id, all stay."""
-    discard_unread(spark, docs)
-    return _without(docs, near_duplicates(docs).where("not kept"))
+    with stage_scope(spark, docs):
+        return _without(docs, near_duplicates(docs).where("not kept"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go; rows with a null id stay."""
-    discard_unread(spark, docs)
-    return _without(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    with stage_scope(spark, docs):
+        return _without(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; personal data is replaced by its kind in brackets."""
-    discard_unread(spark, docs)
-    return redacted(docs)
+    with stage_scope(spark, docs):
+        return redacted(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, packed into windows of 2048 ids: one row per piece."""
-    discard_unread(spark, docs)
-    return pack(docs)
+    with stage_scope(spark, docs):
+        return pack(docs)
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", pii), ("packing", packing)]

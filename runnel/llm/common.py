@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import re
 import tempfile
 import uuid
-from array import array
+import weakref
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,24 +19,39 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
-_TABLES: list[str] = []
+#: Folders written by this process, by the scope they were written in, and the tables that read them.
+_FOLDERS: dict[str, str] = {}
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_SCOPE = ["query"]
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset (tests on one machine) a temporary folder is taken.
+    Where it is unset a temporary folder is taken, if driver and executors are one process; on a
+    cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="runnel-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own; it goes with the driver, if it is not discarded before."""
     path = f"{shared_dir(spark)}/runnel-{name}-{uuid.uuid4().hex}"
-    _TABLES.append(path)
+    p, system = _hadoop(spark, path)
+    system.mkdirs(p)
+    system.deleteOnExit(p)
+    _FOLDERS[path] = _SCOPE[-1]
     return path
 
 
@@ -41,24 +59,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once into the shared folder and reads it back: lineage ends there."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.mode("append").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
 
 
 def discard(spark: SparkSession, path: str) -> None:
-    """Deletes one written table that no later step reads."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    if path in _TABLES:
-        _TABLES.remove(path)
+    p, system = _hadoop(spark, path)
+    system.delete(p, True)
+    system.cancelDeleteOnExit(p)
+    _FOLDERS.pop(path, None)
+
 
+def discard_table(table: DataFrame) -> None:
+    """Deletes the files of one ``written`` table that no later step reads."""
+    if path := _PATHS.pop(table, None):
+        discard(table.sparkSession, path)
 
-def discard_unread(spark: SparkSession, docs: DataFrame) -> None:
-    """Deletes this process's written tables, save those that ``docs`` still reads."""
-    used = docs.inputFiles()
-    for path in list(_TABLES):
+
+@contextlib.contextmanager
+def stage_scope(spark: SparkSession, docs: DataFrame) -> Iterator[None]:
+    """For a stage of the pipeline: folders of earlier stages go, save those that ``docs`` reads;
+    tables of single queries stay."""
+    used = docs.inputFiles() if "pipeline" in _FOLDERS.values() else []
+    for path in [p for p, scope in _FOLDERS.items() if scope == "pipeline"]:
         if not any(path.rpartition("/")[2] in f for f in used):
             discard(spark, path)
+    _SCOPE.append("pipeline")
+    try:
+        yield
+    finally:
+        _SCOPE.pop()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,12 +154,13 @@ class WordSequence:
 
 # --- tokenization --------------------------------------------------------------------------
 
-#: White space beyond ASCII, and separators that libraries class differently.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　﻿]")
-#: Characters whose lower case or composition depends on their neighbours, and the marks used below.
-_BOUND = re.compile("[\0\x01\u0300-\u036f\u03a3\u0345]")
-_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_RUNS = re.compile("[ \t-\r]{2}|[\t\x0b-\r]")
+#: White space beyond ASCII, separators that libraries class differently, and characters whose
+#: lower case or composition depends on their neighbours.
+_ODD = re.compile("[\0-\x08\x0e-\x1f\x85\xa0\u0300-\u036f\u0345\u03a3\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff\t\x0b-\r]")
+#: A word of one id in the vocabulary without spaces, put between pieces.
+_MARK = "~"
+_ENDS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_PUNCTUATION = frozenset(_ENDS)
 
 
 class CachedTokenizer:
@@ -135,79 +168,132 @@ class CachedTokenizer:
 
     Both vocabularies split a text into pieces before merging, and a single space or newline
     between two other characters always ends a piece. The text is cut there, each distinct piece
-    is encoded by the library, and the ids (bytes, unsigned 32-bit little-endian) are joined.
-    Texts with other white space are encoded whole. The cache has two generations: the older one
-    goes once the younger holds half of ``limit`` pieces, so memory is bounded.
+    is encoded by the library, many to a call, and the ids (bytes, unsigned 32-bit little-endian)
+    are joined. Texts with other white space are encoded whole. The cache has two generations: the
+    older one goes once the younger holds half of ``limit`` pieces, so memory is bounded.
     """
 
-    def __init__(self, name: str, limit: int = 500_000):
+    def __init__(self, name: str, limit: int = 600_000):
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.tokenizer.encode_special_tokens = True
         self.spaced = name.startswith("byte")  # a piece holds the space before it
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with a space or newline
+        self.begins[[k for t, k in vocabulary.items() if t[0] in "\u0120\u010a"]] = True
+        self.mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.limit, self.cache, self.older = limit, {}, {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in done]
+        return [np.array(e.ids, "<u4").tobytes() for e in done]
+
+    def _together(self, pieces: list[str]) -> None:
+        """Encodes pieces in one text and cuts its ids between them."""
+        told = "".join([p if p[0] == "\n" else " " + p for p in pieces]) if self.spaced else "".join([f"{p} {_MARK} " for p in pieces])
+        ids = np.array(self.tokenizer.encode_batch_fast([told], add_special_tokens=False)[0].ids, "<u4")
+        if self.spaced:
+            starts = np.flatnonzero(self.begins[ids])
+            ends = np.append(starts[1:], len(ids))
+        else:
+            ends = np.flatnonzero(ids == self.mark[0])
+            starts = np.append(0, ends + 1)[: len(ends)]
+        if len(starts) != len(pieces):
+            self.cache.update(zip(pieces, self._encode([p if p[0] == "\n" or not self.spaced else " " + p for p in pieces])))
+            return
+        data = ids.tobytes()
+        self.cache.update(zip(pieces, [data[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]))
 
     def _learn(self, pieces: set[str]) -> None:
-        """Puts the ids of unseen pieces into the cache.
-
-        Punctuation after a letter is always a piece of its own, and one vocabulary knows lower
-        case only, so pieces that differ in that alone share one encoding.
-        """
-        cache, older, parts, todo = self.cache, self.older, [], set()
-        for p in pieces:
-            if p in older:
-                cache[p] = older[p]
-                continue
-            base, tail = p, ""
-            if p[-1] in _PUNCTUATION and (cut := p.rstrip(_PUNCTUATION)) and cut[-1].isalpha():
-                base, tail = cut, "\x01" + p[len(cut) :]
-                todo.add(tail)
-            if not self.spaced:
-                base = base.lower()
-            if base != p:
+        """Puts the ids of unseen pieces into the cache; None for those whose texts are encoded whole."""
+        cache, older = self.cache, self.older
+        if old := pieces & older.keys():
+            cache.update({p: older[p] for p in old})
+            pieces = pieces - old
+        apart = {p for p in pieces if not p or p[0] == "\0" or p == "\n"} if self.spaced else {p for p in pieces if not p or _MARK in p}
+        new = list(pieces - apart)
+        if _ODD.search("".join(new)):
+            odd = {p for p in new if _ODD.search(p)}
+            cache.update(dict.fromkeys(odd))
+            new = [p for p in new if p not in odd]
+        # punctuation after a letter is a piece of its own, and one vocabulary knows lower case only
+        parts, ended = [], [p for p in new if p[-1] in _PUNCTUATION]
+        todo = set(new).difference(ended)
+        if not self.spaced:
+            parts = [(p, p.lower(), "") for p in todo if not p.islower()]
+            todo = set(map(str.lower, todo))
+        for p in ended:
+            base = p.rstrip(_ENDS)
+            if base and base[-1].isalpha():
+                tail = "\0" + p[len(base) :]
+                if tail not in cache:
+                    cache[tail] = self._encode([tail[1:]])[0]
+                base = base if self.spaced else base.lower()
                 parts.append((p, base, tail))
-            todo.add(base)
-        cache.update((p, older[p]) for p in todo if p in older)
-        new = [p for p in todo if p not in cache]
-        told = [p if p[0] == "\n" else p[1:] if p[0] in "\0\x01" else " " + p for p in new] if self.spaced else [p.lstrip("\x01") for p in new]
-        for lo in range(0, len(new), 20_000):
-            cache.update(zip(new[lo : lo + 20_000], self._encode(told[lo : lo + 20_000])))
-        cache[""] = b""
-        cache.update([(p, cache[base] + cache[tail]) for p, base, tail in parts])
+                todo.add(base)
+            else:
+                todo.add(p)
+        todo = todo.difference(cache)
+        if old := todo & older.keys():
+            cache.update({p: older[p] for p in old})
+            todo -= old
+        new = list(todo)
+        for lo in range(0, len(new), 2000):
+            self._together(new[lo : lo + 2000])
+        cache.setdefault("", b"" if not self.spaced else None)
+        cache.update([(p, cache[base] + cache[tail] if tail else cache[base]) for p, base, tail in parts])
+        if apart:
+            # the first piece of a text has no space before it: a leading \0 marks that
+            single = [p for p in apart if p not in ("", "\0", "\n") and not _ODD.search(p[self.spaced :])]
+            cache.update(dict.fromkeys(apart))
+            cache.update(zip(single, self._encode([p[self.spaced :] for p in single])))
+            if not self.spaced:
+                cache[""] = b""
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split, whole = [], []
-        for k, text in enumerate(texts):
-            if not text:
-                split.append([])
-            elif _ODD.search(text) or _BOUND.search(text) or (self.spaced and (_RUNS.search(text) or text[0] in " \n" or text[-1] in " \n")):
-                split.append(None)
-                whole.append(k)
-            elif self.spaced:
-                # the first piece has no space before it: a leading \0 marks that
-                split.append(("\0" + text.replace("\n", " \n")).split(" "))
-            else:
-                split.append(text.split())
+        if self.spaced:
+            split = [("\0" + t.replace("\n", " \n")).split(" ") if t else () for t in texts]
+        else:
+            split = [t.replace("\n", " ").split(" ") if t else () for t in texts]
         if len(self.cache) > self.limit // 2:
             self.older, self.cache = self.cache, {}
         cache = self.cache
-        self._learn(set().union(*(p for p in split if p)).difference(cache))
-        out = [b"" if p is None else b"".join(map(cache.__getitem__, p)) for p in split]
+        if new := set().union(*split).difference(cache):
+            self._learn(new)
+        out, whole = [], []
+        for k, pieces in enumerate(split):
+            try:
+                out.append(b"".join(map(cache.__getitem__, pieces)))
+            except TypeError:  # a piece has None
+                out.append(b"")
+                whole.append(k)
         for k, ids in zip(whole, self._encode([texts[k] for k in whole]) if whole else []):
             out[k] = ids
         return out
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def tokenizer(name: str) -> CachedTokenizer:
-    """One per worker process and vocabulary."""
+    """One at a time per worker process."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return CachedTokenizer(name)
+
+
+#: What workers keep from task to task, by operator: emptied when the worker turns to another one.
+KEPT: list[dict] = []
+
+
+def fresh_worker() -> None:
+    """Frees what other operators' tasks have left in this worker process."""
+    import gc
+
+    if tokenizer.cache_info().currsize or any(KEPT):
+        tokenizer.cache_clear()
+        for kept in KEPT:
+            kept.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()

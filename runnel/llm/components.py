@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runnel.llm.common import discard, written
+from runnel.llm.common import discard_table, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -17,20 +17,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return met.where("a <> b").distinct()
 
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id of an edge (a, b); the component is its least reachable id.
 
     Edges with a null end, and loops, are left out; repeated edges count once. Each round is
     written to the shared folder, and rounds go on until one changes nothing, so a chain of n
     links takes about log n rounds. No links at all give an empty table.
     """
-    spark = edges.sparkSession
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     mark = None
-    for _ in range(limit):
+    while True:
         new = written(_star(_star(now, True), False).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
         seen = new.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        discard(spark, now.inputFiles()[0].rpartition("/")[0]) if now.inputFiles() else None
+        discard_table(now)
         now = new
         if tuple(seen) == mark:
             break

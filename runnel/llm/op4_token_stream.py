@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from runnel.llm.common import discard, documents, new_folder, tokenizer, written
+from runnel.llm.common import documents, new_folder, tokenizer, written
 
 BATCH = 256
 
@@ -40,19 +40,20 @@ class SequenceWriter:
     """Appends ids to one file, a batch of full sequences at a time."""
 
     def __init__(self, sink, width: int, largest: int = (1 << 32) - 1):
-        self.width, self.rest, self.n = width, [], 0
+        self.width, self.rest, self.waiting, self.n = width, [], 0, 0
         self.schema = stream_schema(width, largest)
         self.file = pa.ipc.new_file(sink, self.schema)
 
     def append(self, ids: np.ndarray) -> None:
         self.rest.append(ids)
         self.n += len(ids)
-        if sum(map(len, self.rest)) >= BATCH * self.width:
+        self.waiting += len(ids)
+        if self.waiting >= BATCH * self.width:
             flat = np.concatenate(self.rest)
             while len(flat) >= BATCH * self.width:
                 self._batch(flat[: BATCH * self.width], BATCH * self.width)
                 flat = flat[BATCH * self.width :]
-            self.rest = [flat]
+            self.rest, self.waiting = [flat], len(flat)
 
     def _batch(self, flat: np.ndarray, used: int) -> None:
         kinds = [self.schema.field(k).type.value_type for k in (0, 1)]
@@ -120,9 +121,6 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_
                 s.close()
             yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}"], "first_id": pa.array(ids_of[:1], pa.int64()), "n_docs": [len(sizes)], "n_tokens": [out.n]})
 
-    spark = docs.sparkSession
-    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     files = written(dealt.mapInArrow(write, "file string, first_id long, n_docs long, n_tokens long"), "manifest")
     before = Window.orderBy(F.col("first_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
@@ -130,8 +128,9 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_
     return files.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")))
 
 
-def read_token_files(manifest: DataFrame) -> DataFrame:
-    """Reads files back: doc_id, start (over all files), n_tokens, ids_crc32, ids (binary)."""
+def read_token_files(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
+    """Reads files back, a task to each: doc_id, start (over all files), n_tokens, ids_crc32, and
+    ids (binary) if asked for."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,18 +143,16 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 for lo in range(0, len(sizes), 1000):
                     s = slice(lo, lo + 1000)
                     ids = [reader.ids(a, n).astype("<u4").tobytes() for a, n in zip(starts[s].tolist(), sizes[s].tolist())]
-                    yield pa.RecordBatch.from_pydict({
-                        "doc_id": index["doc_id"].slice(lo, 1000).combine_chunks(), "start": starts[s] + row["base"], "n_tokens": sizes[s],
-                        "ids_crc32": pa.array([zlib.crc32(x) for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary()),
-                    })
+                    out = {"doc_id": index["doc_id"].slice(lo, 1000).combine_chunks(), "start": starts[s] + row["base"], "n_tokens": sizes[s], "ids_crc32": pa.array([zlib.crc32(x) for x in ids], pa.int64())}
+                    yield pa.RecordBatch.from_pydict(out | ({"ids": pa.array(ids, pa.binary())} if with_ids else {}))
 
-    # one task a file: a file is what one task wrote
-    dealt = manifest.select("file", "base").repartition(F.col("file"))
-    return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    # the manifest has a row for each file; ranges of as many names as there are files
+    dealt = manifest.select("file", "base").repartitionByRange(max(1, manifest.count()), "file")
+    return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def op4_token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents through the files and back; one row per document."""
     folder = new_folder(spark, "tokens")
     manifest = write_token_files(documents(spark, sf_dir), folder)
-    return read_token_files(manifest).drop("ids")
+    return read_token_files(manifest, with_ids=False)

@@ -201,9 +201,6 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
             sink.close()
             yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}"], "records": [n]})
 
-    spark = pages.sparkSession
-    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
     rows = kinds(pages, least).select("page_id", "url", "html", "payload_bytes", "sha1", "target")
     return written(rows.mapInArrow(write, "file string, records long"), "archives")
 
@@ -238,7 +235,7 @@ def read_archives(files: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     ddl = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, file string, at long"
-    return files.select("file").repartition(F.col("file")).mapInArrow(read, ddl)
+    return files.select("file").repartitionByRange(max(1, files.count()), "file").mapInArrow(read, ddl)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

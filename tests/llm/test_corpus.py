@@ -217,44 +217,52 @@ def test_op5(docs, none, k):
     assert o5.near_duplicates(none).count() == 0
 
 
-def test_op5_dense_group(spark):
-    """Copies of one text with many edits: the components are those of all pairs."""
+def linked_groups(rows, k=4):
+    """Least reachable ids by brute force."""
+    sets = {i: {tuple(t.split()[j : j + k]) for j in range(len(t.split()) - k + 1)} for i, t in rows}
+    owner = {i: i for i in sets}
+
+    def root(i):
+        while owner[i] != i:
+            i = owner[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                owner[y] = x
+    return {i: root(i) for i in sets}
+
+
+@pytest.mark.parametrize("cell", [2048, 24])
+def test_op5_dense_group(spark, monkeypatch, cell):
+    """Copies of one text with many edits, some of them beyond the similarity: the components are
+    those of all pairs, also where a region is dealt to cells of few rows."""
+    monkeypatch.setattr(o5, "CELL", cell)
     r = random.Random(3)
     rows = []
-    for k in range(90):
+    for k in range(160):
         w = list(words(150, 9))
-        for _ in range(r.randint(1, 9)):
+        for _ in range(r.choice([1, 2, 4, 7, 9, 11])):
             w[r.randrange(150)] = f"z{r.randrange(10**6)}"
         rows.append((k, " ".join(w)))
     got = {x.doc_id: x.component_id for x in o5.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()}
-    sets = {k: {tuple(t.split()[j : j + 4]) for j in range(147)} for k, t in rows}
-    owner = {k: k for k in sets}
-    for _ in range(90):
-        for a in sets:
-            for b in sets:
-                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                    owner[a] = owner[b] = min(owner[a], owner[b])
-        if all(owner[owner[a]] == owner[a] for a in owner):
-            break
-    assert got == owner
-
-
-def test_op5_pairs_of_a_hot_bucket(spark):
-    """More than HOT members of one bucket, alike in pairs only: the two passes find every pair."""
-    n = o5.HOT + 404
-    rng = np.random.default_rng(8)
-    sketch = rng.integers(0, 256, (n, o5.K), np.uint8)
-    sketch[1::2] = sketch[::2]
-    for k in range(1, n, 2):
-        sketch[k, rng.choice(o5.K, 100, replace=False)] = rng.integers(0, 256, 100)
-    classes = spark.createDataFrame([(k, [7], bytearray(x.tobytes())) for k, x in enumerate(sketch)], "doc_id long, keys array<long>, sketch binary").cache()
-    first = o5.candidates(o5.forest_rows(classes)).collect()
-    assert {r.held for r in first if r.a is None} == {7}
-    found = {(r.a, r.b) for r in first if r.a is not None}
-    groups = [(k, 7, k - k % 2 if (k - k % 2, k - k % 2 + 1) in found else k) for k in range(n)]
-    more = {(r.a, r.b) for r in o5.across(spark.createDataFrame(groups, "doc_id long, bucket long, component long"), classes).collect()}
-    want = {(k, k + 1) for k in range(0, n, 2)}
-    assert len(found) < len(want) and found | more == want and not found & more
+    want = linked_groups(rows)
+    assert len(set(want.values())) > 5 and got == want
+
+
+def test_op5_second_pass_unites_what_the_order_keeps_apart(spark):
+    """A region of texts that are alike in pairs only, no pair found before: the cells find all, and
+    hand on no more links than unite the components."""
+    rows = [(k, " ".join(words(60, k // 2) + (["x"] if k % 2 else []))) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = o5.full_sets(docs.select("doc_id", docs.text.cast("binary")), 4)
+    table = o5.signed(docs, 4).withColumnRenamed("doc_id", "id").join(sets, "id").withColumnRenamed("id", "doc_id").selectExpr(
+        "doc_id", "0 AS tree", "7L AS bucket", "doc_id AS component", "120L AS n", "120L AS kinds", "struct(1L AS n, 0L AS component) AS main", "sketch",
+        "concat(array(7L), slice(keys, 2, 19)) AS keys", "items")
+    got = sorted((r.a, r.b) for r in o5.across(table, 80).collect())
+    assert got == [(k, k + 1) for k in range(0, 120, 2)]
 
 
 def test_op7(spark, none):
