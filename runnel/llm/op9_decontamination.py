@@ -2,19 +2,18 @@
 
 Numbers, names and units become typed placeholders, so a question with other numbers or names has
 the same template. Adjoining number or name words are one slot, and a capital that begins a sentence
-or a line is read both as a name and as a word. Windows of WINDOW template words of the documents are
-looked up in a hash index of the benchmark's windows; the windows of one item that follow each other
-in a document, on one diagonal or on neighbouring ones, make a match. Along it, every slot's value in the item must always stand for the same value in the
-document and the other way round; a match whose slots contradict each other is not reported.
-
-The benchmark is taken in blocks of bounded size, each sent to the executors, and all documents are
-scanned for each block (one block for any usual benchmark).
+or a line is read both as a name and as a word. Windows of WINDOW template words of the benchmark
+are a table, by hash, with the values of their slots; the documents' windows are hash-joined with
+it. A bitmap of BITS bits (of that size whatever the benchmark) keeps windows that can meet nothing
+out of the join. The windows of one item that follow each other in a document, on one diagonal or
+on neighbouring ones, make a match. Along it, every slot's value in the item must always stand for
+the same value in the document and the other way round; where slots contradict each other, only
+the windows that copy the item word by word count.
 """
 
 from __future__ import annotations
 
 import bisect
-import hashlib
 import re
 import struct
 from collections import defaultdict
@@ -22,15 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runnel.llm.common import documents, mix
+from runnel.llm.common import KEPT, documents, fresh_worker, mix, written
 
 #: Words of a window; a match needs so large a share of the item's windows, or so many of them.
 WINDOW, SHARE, MANY = 8, 0.5, 20
-#: Characters of benchmark text in one block.
-BLOCK_CHARS = 50_000_000
+#: Bits of the map of benchmark hashes, as a power of two; benchmark windows that are broadcast at most
+#: (some 100 bytes each), more are joined by a shuffle.
+BITS, BROADCAST_ROWS = 26, 200_000
 
 _NUMBER = re.compile(r"[-+$€£]?\d[\d.,:/]*(?:st|nd|rd|th|s|%)?")
 _NUMBER_WORDS = "one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split()
@@ -56,199 +57,215 @@ def placeholder(word: str, starts: bool) -> str:
 
 
 def code(kind: str) -> int:
-    return int.from_bytes(hashlib.blake2b(kind.encode("utf-8", "replace"), digest_size=8).digest(), "little") or 1
+    return xxhash.xxh3_64_intdigest(kind.encode("utf-8", "replace")) or 1
 
 
-_NAME_CODE, _NUM_CODE = code(NAME), code(NUM)
-_GAP, _STOP, _TRAIL, _LEAD, _USUAL = 1, 2, 4, 8, 16
+_NAME_CODE, _NUM_CODE, _UNIT_CODE = code(NAME), code(NUM), code(UNIT)
+_GAP, _STOP, _TRAIL, _LEAD, _USUAL, _NEXT = 1, 2, 4, 8, 16, 32
 #: word -> its code inside a sentence, its code at the start of one, and flags.
 _WORDS: dict[str, bytes] = {}
-_BREAK = "\x03"
+KEPT.append(_WORDS)
+#: Stand for a line break and for the border of two texts.
+_BREAK, _TEXT = "\x03", "\x04"
+_PLAIN = frozenset(_NUMBER_WORDS) | frozenset(_UNITS) | _COMMON
+_pack = struct.Struct("<3Q").pack
 
 
 def _known(w: str) -> bytes:
-    if w == _BREAK or not w.strip(_TRIM):
+    if w.isalpha() and w.islower() and w not in _PLAIN:
+        one = code(w)
+        return _pack(one, one, 0)
+    core = w.strip(_TRIM)
+    if w in (_BREAK, _TEXT) or not core:
         inside = start = 0
     else:
         inside = code(placeholder(w, False))
         start = inside if w[:1].islower() else code(placeholder(w, True))
-    flags = _GAP * (w == _BREAK) + _STOP * (w[-1] in ".!?:") + _TRAIL * (w[-1] in _TRIM) + _LEAD * (w[0] in _TRIM) + _USUAL * (w.strip(_TRIM).lower() in _COMMON)
-    return struct.pack("<3Q", inside, start, flags)
+    flags = _GAP * (w in (_BREAK, _TEXT)) + _NEXT * (w == _TEXT) + _STOP * (w[-1] in ".!?:") + _TRAIL * (w[-1] in _TRIM) + _LEAD * (w[0] in _TRIM) + _USUAL * (core.lower() in _COMMON)
+    return _pack(inside, start, flags)
 
 
 class Reading:
-    """The template words of a text: codes, and maybe[k] where a word can be a name as well.
+    """The template words of several texts, one after the other: codes, and maybe[k] where a word
+    can be a name as well.
 
-    at[k] is the first of the text's words (those of punctuation alone left out) that template word
-    k stands for. Each distinct word is looked at once per worker.
+    at[k] is the first of the words (those of punctuation alone left out) that template word k
+    stands for, text[k] the text it is in. Each distinct word is looked at once per worker.
     """
 
-    def __init__(self, text: str | None):
-        words = (text or "").replace("\n", f" {_BREAK} ").split()
+    def __init__(self, texts: list[str | None]):
+        words = f" {_TEXT} ".join([(t or "").replace(_TEXT, " ").replace("\n", f" {_BREAK} ") for t in texts]).split()
         if len(_WORDS) > 400_000:
             _WORDS.clear()
         for w in set(words).difference(_WORDS):
             _WORDS[w] = _known(w)
         table = np.frombuffer(b"".join(map(_WORDS.__getitem__, words)), "<u8").reshape(-1, 3)
-        flags, place = table[:, 2], np.arange(len(words))
-        gap = flags & _GAP != 0
+        flags, place = table[:, 2].astype(np.uint8), np.arange(len(words), dtype=np.int32)
+        gap, text = flags & _GAP != 0, np.cumsum(flags & _NEXT != 0, dtype=np.int32)
+        # the last word before each one that is no break, and how many breaks lie between
         last = np.concatenate(([-1], np.maximum.accumulate(np.where(gap, -1, place))[:-1])) if words else place
-        breaks = place - 1 - last
-        hard = (last < 0) | (breaks > 1) | (flags[last] & _STOP != 0) if words else gap
         kept = np.flatnonzero(table[:, 0])
-        inside, start, flags, last, breaks, hard = (x[kept] for x in (table[:, 0], table[:, 1], flags, last, breaks, hard))
-        capital, common = inside == _NAME_CODE, flags & _USUAL != 0
+        inside, start, last, text, own = table[kept, 0], table[kept, 1], last[kept], text[kept], flags[kept]
+        breaks, other = kept - 1 - last, np.concatenate(([True], text[1:] != text[:-1]))[: len(kept)]
+        hard = other | (last < 0) | (breaks > 1) | (flags[last] & _STOP != 0) if words else gap[kept]
+        capital, common = inside == _NAME_CODE, own & _USUAL != 0
         begins = hard | (breaks > 0)
         # adjoining words of one slot
         after = np.zeros(len(kept), bool)
         if len(kept) > 1:
-            near = (last[1:] == kept[:-1]) & (flags[:-1] & _TRAIL == 0) & (flags[1:] & _LEAD == 0) & (breaks[1:] < 2)
-            named = capital & ~(begins & common)
-            after[1:] = near & (((inside[1:] == _NUM_CODE) & (inside[:-1] == _NUM_CODE)) | (named[1:] & named[:-1] & ~hard[1:]))
+            near = ~other[1:] & (last[1:] == kept[:-1]) & (own[:-1] & _TRAIL == 0) & (own[1:] & _LEAD == 0) & (breaks[1:] < 2)
+            number, named = inside == _NUM_CODE, capital & ~(begins & common)
+            after[1:] = near & ((number[1:] & number[:-1]) | (named[1:] & named[:-1] & ~hard[1:]))
         first = np.flatnonzero(~after)
-        runs = np.diff(np.append(first, len(kept))) > 1
-        self.at, self.n = first, len(kept)
-        self.codes = np.where(begins & ~(runs_of(runs, first, len(kept)) & capital), start, inside)[first]
-        self.maybe = (begins & capital & ~common & ~runs_of(runs, first, len(kept)))[first]
-        self._words, self._kept, self._begins, self._runs = words, kept, begins, runs
-
-    def told(self) -> tuple[list[str], list[str]]:
-        """What each template word stands for, and the template words."""
-        words = [self._words[k] for k in self._kept.tolist()]
-        ends = np.append(self.at, self.n).tolist()
-        values = [" ".join(w.strip(_TRIM) for w in words[a:b]) for a, b in zip(ends, ends[1:])]
-        begins = self._begins.tolist()
-        return values, [placeholder(words[a], begins[a] and not run) for a, run in zip(ends, self._runs.tolist())]
-
-
-def runs_of(runs: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
-    """``runs`` at the first words of slots, for all n words."""
-    out = np.zeros(n, bool)
-    out[first] = runs
-    return out
-
-
-def template(text: str | None) -> tuple[list[str], list[str]]:
-    """What each template word of a text stands for, and the template words."""
-    return Reading(text).told()
-
-
-def quick_codes(text: str) -> np.ndarray:
-    """The codes of ``template(text)``."""
-    return Reading(text).codes
-
-
-class Index:
-    """Windows of a block of benchmark items, by hash."""
-
-    def __init__(self, items: list[tuple[int, str]], window: int):
-        self.window, self.words, self.values = window, {}, {}
-        self.count: dict[int, int] = {}
-        entries = []
-        for item, text in items:
-            read = Reading(text)
-            size = min(window, len(read.codes))
-            if not size:
-                continue
-            n = len(read.codes) - size + 1
-            self.count[item], self.words[item] = n, (*read.told(), read.maybe.tolist())
-            at, h = self.readings(read, size)
-            entries += [(x, item, k) for k, x in zip(at.tolist(), h.tolist())]
-        self.at = defaultdict(list)
-        for h, item, k in entries:
-            self.at[h].append((item, k))
-        self.sorted = np.array(sorted(self.at), np.uint64)
-        self.some = np.zeros(1 << 20, bool)  # whether an entry begins with these bits
-        self.some[(self.sorted >> np.uint64(44)).astype(np.int64)] = True
-        #: lengths of items shorter than a window, whose whole template is one entry
-        self.short = sorted({len(w[0]) for w in self.words.values() if len(w[0]) < window})
-
-    @staticmethod
-    def codes(kinds: list[str]) -> np.ndarray:
-        return np.array([code(k) for k in kinds], np.uint64)
-
-    @staticmethod
-    def windows(codes: np.ndarray, size: int) -> np.ndarray:
-        n = len(codes) - size + 1
+        run = np.diff(np.append(first, len(kept))) > 1
+        begins, capital = begins[first], capital[first]
+        self.at, self.n, self.text = first, len(kept), text[first]
+        self.codes = np.where(begins & ~(run & capital), start[first], inside[first])
+        self.maybe = begins & capital & ~common[first] & ~run
+        self.begin = np.searchsorted(self.text, np.arange(len(texts)))  # each text's first template word
+        self._words, self._kept = words, kept
+
+    def value(self, k: int) -> str:
+        """What template word k stands for after a letter for its kind: n, u, p (name), m (maybe a
+        name); empty for other words."""
+        kind = {_NUM_CODE: "n", _UNIT_CODE: "u", _NAME_CODE: "p"}.get(int(self.codes[k]), "m" if self.maybe[k] else "")
+        end = self.at[k + 1] if k + 1 < len(self.at) else self.n
+        return kind and kind + " ".join(self._words[w].strip(_TRIM) for w in self._kept[self.at[k] : end].tolist())
+
+    def first_word(self, k: int, text: int) -> int:
+        """The word of the text at which template word k begins (or the text ends)."""
+        at = self.at[k] if k < len(self.at) else self.n
+        return int(at - self.at[self.begin[text]])
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Start and hash of every window inside a text, in all readings of its words that may be names."""
+        codes, maybe, n = self.codes, self.maybe, len(self.codes) - size + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         h = np.full(n, size, np.uint64)
         for k in range(size):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n]
-        return mix(h)
-
-    @classmethod
-    def readings(cls, read: Reading, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Start and hash of every window, in all readings of its words that may be names."""
-        codes, maybe = read.codes, read.maybe
-        n = len(codes) - size + 1
-        at, h = np.arange(n), np.full(n, size, np.uint64)
-        for k in range(size):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n]
-        if maybe.any():
-            power = np.uint64(1)
-            for k in range(size - 1, -1, -1):
-                some = np.flatnonzero(maybe[at + k])
-                more = h[some] + (np.uint64(_NAME_CODE) - codes[at[some] + k]) * power
+            h = h * _STEP + codes[k : k + n]
+        at = np.flatnonzero(self.text[:n] == self.text[size - 1 :])
+        h = h[at]
+        power = 1
+        for k in range(size - 1, -1, -1):
+            some = np.flatnonzero(maybe[at + k])
+            if len(some):
+                more = h[some] + (np.uint64(_NAME_CODE) - codes[at[some] + k]) * np.uint64(power)
                 at, h = np.concatenate((at, at[some])), np.concatenate((h, more))
-                power = np.uint64(int(power) * 0x9E3779B97F4A7C15 % 2**64)
+            power = power * int(_STEP) % 2**64
         return at, mix(h)
 
-    def matches(self, text: str | None) -> list[tuple]:
-        """(item, first word, words, windows found, item's windows, slots changed) of the accepted matches."""
-        if not text or not len(self.sorted):
-            return []
-        read, seen = Reading(text), defaultdict(set)
-        for size in {self.window, *self.short}:
-            if len(read.codes) >= size:
-                start, h = self.readings(read, size)
-                at = np.flatnonzero(self.some[(h >> np.uint64(44)).astype(np.int64)])
-                p = np.minimum(np.searchsorted(self.sorted, h[at]), len(self.sorted) - 1)
-                at = at[self.sorted[p] == h[at]]
-                for i, x in zip(start[at].tolist(), h[at].tolist()):
-                    for item, k in self.at[x]:
-                        if min(self.window, len(self.words[item][0])) == size:
-                            seen[item].add((k, i))
-        if not seen:
-            return []
-        told, ends = (*read.told(), read.maybe.tolist()), np.append(read.at, read.n).tolist()
-        best = {}
-        for item, found in seen.items():
-            for way in ways(found, self.window):
-                row = self.accepted(item, way, told, ends)
-                if row and (item not in best or row[3] > best[item][3]):
-                    best[item] = row
-        return sorted(best.values())
-
-    def accepted(self, item: int, way: list[tuple[int, int]], told: tuple, ends: list[int]) -> tuple | None:
-        """The match of windows (item's place, document's place) that follow each other, if it is one."""
-        (own, own_kinds, own_maybe), (words, kinds, maybe) = self.words[item], told
-        size, bridged, pairs = min(self.window, len(own)), 0, {}
-        for n, (k, i) in enumerate(way):
-            pairs.update((k + j, i + j) for j in range(size))
-            if n:
-                k0, i0 = way[n - 1]
-                if k - k0 <= size + 1 and i - i0 <= 2 * size:
-                    bridged += k - k0 - 1  # the windows that one word added, left out or replaced spoils
-                if k - k0 == i - i0:
-                    pairs.update((k0 + j, i0 + j) for j in range(k - k0))
-        there, back, changed, slots = {}, {}, 0, 0
-        for k, i in pairs.items():
-            a, b = own[k], words[i]
-            kind = own_kinds[k]
-            if kind != kinds[i]:
-                name = (own_maybe[k] or kind == NAME) and (maybe[i] or kinds[i] == NAME)
-                kind = NAME if name else ""
-            if kind[:1] != "\x02":
-                continue
-            if there.setdefault((kind, a), b) != b or back.setdefault((kind, b), a) != a:
-                return None
-            slots += 1
-            changed += a != b
-        lo, hi = min(pairs), max(pairs) + 1
-        # with other values in its slots a match must rest on words: placeholders alone are in any text
-        if changed and 2 * slots > hi - lo or len(way) + bridged < SHARE * self.count[item] and len(way) < MANY:
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def template(text: str | None) -> list[str]:
+    """The kinds and values of a text's slots, empty for other template words."""
+    read = Reading([text])
+    return [read.value(k) for k in range(len(read.codes))]
+
+
+def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """h, item_id, item_hash, k, size, item_windows, own (values of its slots): a row per reading of each window."""
+    schema = "h long, item_id long, item_hash long, k int, size int, item_windows int, own array<string>"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
+        for batch in batches:
+            rows = []
+            for item, key, text in zip(*(c.to_pylist() for c in batch.columns)):
+                read = Reading([text])
+                n = len(read.codes)
+                size, told = min(window, n), [read.value(k) for k in range(n)]
+                if n:
+                    at, h = read.windows(size)
+                    rows += [(x, item, key, k, size, n - size + 1, told[k : k + size]) for k, x in zip(at.tolist(), h.view(np.int64).tolist())]
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [c.split()[0] for c in schema.split(", ")])
+
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("item_hash"), "text")
+    return items.distinct().mapInArrow(cut, schema)
+
+
+def bitmap(table: DataFrame) -> np.ndarray:
+    """A bit for each value of the hashes' first BITS bits: at most 2 ** (BITS - 6) rows reach the driver."""
+    word = F.shiftrightunsigned("h", 64 - BITS + 6)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - BITS}) & 63 AS int))")
+    out = np.zeros(1 << (BITS - 6), np.int64)
+    found = table.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
+    out[found["w"].to_numpy()] = found["b"].to_numpy()
+    return out
+
+
+def document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
+    """h, doc_id, text_hash, i, first_word, end_word, told (values of its slots): the windows whose
+    hash is in the map; i counts template words from the text's start."""
+    schema = "h long, doc_id long, text_hash long, i int, first_word int, end_word int, told array<string>"
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
+        bits = sent.value.view(np.uint64)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()))
+        names = [c.split()[0] for c in schema.split(", ")]
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 100):
+                part = batch.slice(lo, 100)
+                ids, keys, texts = (c.to_pylist() for c in part.columns)
+                read, rows = Reading(texts), []
+                for size in sizes:
+                    at, h = read.windows(size)
+                    there = bits[(h >> np.uint64(64 - BITS + 6)).astype(np.int64)] >> (h >> np.uint64(64 - BITS) & np.uint64(63)) & np.uint64(1)
+                    for k in np.flatnonzero(there).tolist():
+                        i, t = int(at[k]), int(read.text[at[k]])
+                        rows.append((int(h[k].view(np.int64)), ids[t], keys[t], i - int(read.begin[t]), read.first_word(i, t), read.first_word(i + size, t), [read.value(j) for j in range(i, i + size)]))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+    return docs.mapInArrow(search, schema)
+
+
+def accepted(windows: dict[tuple[int, int], tuple], size: int, total: int) -> tuple | None:
+    """(first word, words, windows found, slots changed) of the best match of an item of ``total`` windows.
+
+    windows: (item's place, document's place) -> (first word, end word, item's values, document's values).
+    """
+    best = None
+    for way in ways(set(windows), size):
+        row = judged(way, windows, size, total)
+        if row is None:  # slots contradict each other: what is copied word by word
+            row = judged([w for w in way if windows[w][2] == windows[w][3]], windows, size, total)
+        if row and (best is None or row[2] > best[2]):
+            best = row
+    return best
+
+
+def judged(way: list[tuple[int, int]], windows: dict, size: int, total: int) -> tuple | None:
+    """The match of windows that follow each other; () if it is too short, None if its slots contradict each other."""
+    bridged, pairs = 0, {}
+    for n, (k, i) in enumerate(way):
+        _, _, own, told = windows[k, i]
+        pairs.update(((k + j, i + j), (own[j], told[j])) for j in range(size))
+        if n:
+            k0, i0 = way[n - 1]
+            if k - k0 <= size + 1 and i - i0 <= 2 * size:
+                bridged += k - k0 - 1  # the windows that one word added, left out or replaced spoils
+    there, back, changed, slots = {}, {}, 0, 0
+    for a, b in pairs.values():
+        if not a or not b or (a[0] == "m" and b[0] == "m" and a == b):
+            continue
+        kind = a[0] if a[0] == b[0] else "p"
+        if there.setdefault((kind, a[1:]), b[1:]) != b[1:] or back.setdefault((kind, b[1:]), a[1:]) != a[1:]:
             return None
-        first = ends[way[0][1]]
-        return item, first, ends[way[-1][1] + size] - first, len(way), self.count[item], changed
+        slots += 1
+        changed += a[1:] != b[1:]
+    # with other values in its slots a match must rest on words: placeholders alone are in any text
+    if not way or changed and 2 * slots > len({k for k, _ in pairs}) or len(way) + bridged < SHARE * total and len(way) < MANY:
+        return ()
+    first = windows[way[0]][0]
+    return first, windows[way[-1]][1] - first, len(way), changed
 
 
 def ways(found: set[tuple[int, int]], window: int) -> Iterator[list[tuple[int, int]]]:
@@ -284,53 +301,45 @@ def rising(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of at most ``limit`` characters (one item at least)."""
-    some, size = [], 0
-    for r in benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct().toLocalIterator():
-        if some and size + len(r[1]) > limit:
-            yield some
-            some, size = [], 0
-        some.append((r[0], r[1]))
-        size += len(r[1])
-    if some:
-        yield some
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """A row per document and item it holds: doc_id, text_hash, item_id, first_word, n_words,
     n_windows, item_windows, slots_changed.
 
     A document holds an item if half of the item's windows, or MANY, are found on one diagonal or
     in order on neighbouring ones, with consistent slots; windows that one changed word between two
-    found ones spoils count for the half. Where slot values differ, at least half of the matched words must be no
-    slots. An item shorter than a window must be found whole. Null or empty texts,
-    on either side, match nothing; items without an id are left out; rows that share an id are
-    each reported (their text_hash tells them apart). Other columns are ignored. An empty table on
+    found ones spoils count for the half. Where slots contradict each other, windows copied word by
+    word count alone. Where slot values differ, at least half of the matched words must be no
+    slots. An item shorter than a window must be found whole. Null or empty texts, on either side,
+    match nothing; items without an id are left out; an item id with several texts is held if one
+    of them is (the best match is told); rows that share an id are each reported (their text_hash tells them
+    apart, and rows of equal texts are repeated). Other columns are ignored. An empty table on
     either side gives no rows.
     """
-    spark = docs.sparkSession
-    schema = "doc_id long, text_hash long, item_id long, first_word int, n_words int, n_windows int, item_windows int, slots_changed int"
+    out = "doc_id long, text_hash long, item_id long, first_word int, n_words int, n_windows int, item_windows int, slots_changed int"
+    names = [c.split()[0] for c in out.split(", ")]
+    items = written(benchmark_windows(benchmark, window), "benchmark")
+    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most `window` numbers
     kept = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    out = None
-    for items in blocks(benchmark, block_chars):
-        sent = spark.sparkContext.broadcast((items, window))
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Index(*sent.value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * 5)
-            names = [c.split()[0] for c in schema.split(", ")]
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 1000):
-                    part, rows = batch.slice(lo, 1000), []
-                    for doc_id, h, text in zip(*(c.to_pylist() for c in part.columns)):
-                        rows += [(doc_id, h, *m) for m in index.matches(text)]
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-
-        found = kept.mapInArrow(search, schema)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], schema)
+    found = document_windows(kept, bitmap(items), sizes)
+    met = found.join(F.broadcast(items) if items.count() <= BROADCAST_ROWS else items, "h")
+    # a row's repeats make its windows repeat: they are counted, and the result repeats as often
+    key = ["doc_id", "text_hash", "item_id", "item_hash", "size", "item_windows"]
+    seen = met.groupBy(*key, "k", "i", "h").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("first_word", "end_word", "own", "told")])
+    groups = seen.groupBy(*key).agg(F.max("copies").alias("copies"), F.collect_list(F.struct("k", "i", "first_word", "end_word", "own", "told")).alias("windows"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for g in batch.to_pylist():
+                best = accepted({(w["k"], w["i"]): (w["first_word"], w["end_word"], w["own"], w["told"]) for w in g["windows"]}, g["size"], g["item_windows"])
+                if best:
+                    rows.append((g["doc_id"], g["text_hash"], g["item_id"], best[0], best[1], best[2], g["item_windows"], best[3], g["copies"]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(),) * 3 + (pa.int32(),) * 5 + (pa.int64(),))], [*names, "copies"])
+
+    judged_ = groups.mapInArrow(judge, out + ", copies long")
+    best = judged_.groupBy("doc_id", "text_hash", "item_id").agg(F.max("copies").alias("copies"), F.max(F.struct("n_windows", "first_word", "n_words", "item_windows", "slots_changed")).alias("m"))
+    return best.select("doc_id", "text_hash", "item_id", *[f"m.{c}" for c in names[3:]], F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copy")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

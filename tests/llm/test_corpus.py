@@ -315,37 +315,79 @@ def test_op8(docs, none):
     assert o8.duplicate_spans(none, 50).count() == 0
 
 
-def test_op9(spark, docs, none):
+def test_op9(spark, docs, none, monkeypatch):
     bench = spark.createDataFrame([(1, "If Tom has 12 apples and gives 5 apples to Anna, how many apples does Tom keep?"), (2, None), (3, ""), (None, "x"), (4, "one two"), (1, "If Tom has 12 apples and gives 5 apples to Anna, how many apples does Tom keep?")], "item_id long, text string")
     more = docs.select("doc_id", "text").union(spark.createDataFrame([(50, "bla. If Max has 99 apples and gives 3 apples to Eva, how many apples does Max keep? end"), (51, "bla. If Max has 99 apples and gives 3 apples to Eva, how many apples does Bob keep?")], "doc_id long, text string"))
     got = Counter((r.doc_id, r.item_id, r.slots_changed > 0) for r in o9.contaminated(more, bench).collect())
     assert got == Counter({(50, 1, True): 1, (8, 4, False): 1, (9, 4, False): 2})
-    small = Counter((r.doc_id, r.item_id, r.slots_changed > 0) for r in o9.contaminated(more, bench, block_chars=10).collect())
-    assert small == got
+    monkeypatch.setattr(o9, "BROADCAST_ROWS", 0)
+    assert got == Counter((r.doc_id, r.item_id, r.slots_changed > 0) for r in o9.contaminated(more, bench).collect())
     assert o9.contaminated(none, bench).count() == 0 and o9.contaminated(more, bench.limit(0)).count() == 0
 
 
-def test_op9_quick_codes_are_the_template():
-    for _, t in TEXTS:
-        assert (o9.quick_codes(t or "") == o9.Index.codes(o9.template(t)[1])).all()
+def test_op9_reads_many_texts_like_each_alone():
+    texts = [t for _, t in TEXTS] + ["Tom met Ann.", "Ann Lee met Tom\nand 5 6 men", "5 apples", None, "...", "x\x04y Z"]
+    read = o9.Reading(texts)
+    whole = {}
+    for k in range(len(read.codes)):
+        whole.setdefault(int(read.text[k]), []).append((int(read.codes[k]), bool(read.maybe[k]), read.value(k), read.first_word(k, int(read.text[k]))))
+    hashes = Counter((int(read.text[i]), i - int(read.begin[read.text[i]]), int(h)) for i, h in zip(*read.windows(8)))
+    alone = Counter()
+    for t, text in enumerate(texts):
+        one = o9.Reading([text])
+        assert whole.get(t, []) == [(int(one.codes[k]), bool(one.maybe[k]), one.value(k), one.first_word(k, 0)) for k in range(len(one.codes))]
+        alone.update((t, int(i), int(h)) for i, h in zip(*one.windows(8)))
+    assert hashes == alone
+    assert o9.template("Tom met Ann Lee, 5 kg or 25 30.") == ["mTom", "", "pAnn Lee", "n5", "ukg", "", "n25 30"]
+
+
+def held(item, text):
+    """The match of one item in one text, its windows found by comparing all with all."""
+    a, b = o9.Reading([item]), o9.Reading([text])
+    size = min(8, len(a.codes))
+    there = {}
+    for k, x in zip(*a.windows(size)):
+        there.setdefault(int(x), []).append(int(k))
+    found = {
+        (k, int(i)): (b.first_word(i, 0), b.first_word(i + size, 0), [a.value(j) for j in range(k, k + size)], [b.value(j) for j in range(i, i + size)])
+        for i, x in zip(*b.windows(size)) for k in there.get(int(x), ())
+    }
+    return o9.accepted(found, size, len(a.codes) - size + 1)
 
 
 def test_op9_names_at_starts_longer_values_and_edits():
     """Other names at sentence starts, values of more words, one word more, and lines wrapped anew."""
     item = "Tom has 12 apples in a basket. Anna buys 25 more and puts them there. How many apples are in it now?"
-    index = o9.Index([(1, item)], 8)
     same = [
         "Max has 7 apples in a basket. Eva buys 31 more and puts them there. How many apples are in it now?",
         "Mary Ann has 7 apples in a basket. Eva buys twenty five more and puts them there. How many apples are in it now?",
         "well. Max has 7 apples in a basket. Eva\nbuys 31 more\nand puts them there. How many apples are in it now?",
         "Max has 7 apples in a basket. Eva buys 31 more and then puts them there. How many apples are in it now?",
     ]
-    assert all(index.matches(t) for t in [item, *same])
-    assert not index.matches("Max sold 7 pears at the market. Eva wants 31 more and sells them there today. Who has most of it now?")
-    short = "Tom has 12 apples. Anna buys 5 more."
-    assert o9.Index([(1, short)], 8).matches("Max has 7 apples. Eva buys 3 more.") == [(1, 0, 8, 1, 1, 4)]
+    assert all(held(item, t) for t in [item, *same])
+    assert not held(item, "Max sold 7 pears at the market. Eva wants 31 more and sells them there today. Who has most of it now?")
+    assert held("Tom has 12 apples. Anna buys 5 more.", "Max has 7 apples. Eva buys 3 more.") == (0, 8, 1, 4)
     words = "a jar holds red beads and green beads until someone takes half of the red ones out again"
-    assert o9.Index([(1, words)], 8).matches(words.replace("until", "safely until"))
+    assert held(words, words.replace("until", "safely until"))
+
+
+def test_op9_one_value_changed_where_the_item_repeats_it():
+    """The slots contradict each other, but most of the text is a copy."""
+    item = " ".join(words(12, 3)) + " costs 12 coins and the next one sold in this old shop by the river also costs 12 coins as all people in town know " + " ".join(words(12, 4))
+    assert held(item, item.replace("costs 12 coins as", "costs 14 coins as"))
+    assert not held("If Tom has 12 apples and gives 5 apples to Anna, how many apples does Tom keep?", "If Max has 99 apples and gives 3 apples to Eva, how many apples does Bob keep?")
+
+
+def test_op9_queries_find_what_all_pairs_find(spark):
+    """Every document against every item of the small tables."""
+    d, b = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    got = {(r.doc_id, r.item_id): (r.first_word, r.n_words, r.n_windows, r.slots_changed) for r in o9.op9_decontamination(spark, "/root/testdata/sf0.001").collect()}
+    items, want = b.collect(), {}
+    for doc in d.collect():
+        for item in items:
+            if m := held(item.text, doc.text):
+                want[doc.doc_id, item.item_id] = m
+    assert got == want and len(got) >= 3
 
 
 def test_op10_plan_places_all_pieces():
