@@ -1,10 +1,12 @@
 """Personal data: patterns for known forms, and bootstrapped contexts for unseen ones.
 
-Base spans (e-mail, IP, card, phone) are seeds. Each seed induces lexical patterns from the words
-around it and the shape of its value; the other identifier-like strings of the corpus are the
-candidates. Patterns and values form a graph, and Spark scores it in rounds: a pattern is as good
-as the share of its distinct values that are known, a value as good as its best pattern. Values
-that patterns of high confidence reach become spans of the pattern's kind. DataFrame and SQL
+Base spans (e-mail, IP, card, phone) are seeds, and so are secrets of well-known forms (access keys,
+values assigned to a password or token). Each seed induces lexical patterns from the words around
+it and the shape of its value; the other identifier-like strings of the corpus are the candidates.
+Patterns and values form a graph, and Spark scores it in rounds: a pattern is as good as the share
+of its distinct values that are known, a value as good as its best pattern. Values that patterns of
+high confidence reach are known from then on, so they induce patterns in the next round; rounds end
+when one finds nothing new. What is found becomes spans of the pattern's kind. DataFrame and SQL
 functions only.
 """
 
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runnel.llm.common import documents, written
+from runnel.llm.common import discard_table, documents, written
 
 #: In the order in which kinds are listed. Possessive repeats match what plain ones would and keep
 #: long runs linear; a match starts where a run starts or the last match ended.
@@ -24,15 +26,23 @@ BASE = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-KINDS = list(BASE)
+#: Forms of secrets: keys of known beginnings, and what is assigned to a name of a secret.
+_NAMES = "(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)"
+SECRET = rf"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{{16}}+|gh[opsur]_[A-Za-z0-9]{{30,}}+|sk_live_[A-Za-z0-9]{{16,}}+)|(?<={_NAMES}[\x22\x27]{{0,1}} {{0,1}}[:=] {{0,1}}[\x22\x27]{{0,1}})(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{{8,}}+"
+SEEDS = {**BASE, "secret": SECRET}
+KINDS = list(SEEDS)
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _OWN = "A-Za-z0-9._%+@#/-"
-CANDIDATE = rf"(?:(?<![{_OWN}])|\G)[A-Za-z._%+#/-]*+[0-9@][{_OWN}]*+"
+#: Stands where seeds were, so that candidates neither overlap nor touch them.
+_GONE = r"\x01"
+CANDIDATE = rf"(?:(?<![{_GONE}{_OWN}])|\G)[A-Za-z._%+#/-]*+[0-9@][{_OWN}]*+(?!{_GONE})"
 #: Candidates of digit groups with spaces or brackets between them.
-WIDE = rf"(?:(?<![{_OWN}])|\G)[(+]*+[0-9]++(?:(?:[)] ?|[ ./-][(]?|[(])[0-9]++)++(?![{_OWN}])"
+WIDE = rf"(?:(?<![{_GONE}{_OWN}])|\G)[(+]*+[0-9]++(?:(?:[)] ?|[ ./-][(]?|[(])[0-9]++)++(?![{_GONE}{_OWN}])"
 
-#: Rounds of scoring; seeds a pattern needs; confidence a value needs; values counted against each pattern.
-ROUNDS, SUPPORT, CONFIDENCE, DOUBT = 3, 5, 0.8, 1.0
+#: Known values a pattern needs; confidence a value needs; values counted against each pattern.
+SUPPORT, CONFIDENCE, DOUBT = 5, 0.8, 1.0
+#: Matches that are gathered at a time: time grows with the square of this, not of a text's matches.
+BLOCK = 64
 
 
 def _valid(kind: str, m: str) -> str:
@@ -51,40 +61,54 @@ def _valid(kind: str, m: str) -> str:
     return "true"
 
 
-def spans(kind: str, pattern: str) -> Column:
+_SPANS = "array<struct<s: int, k: int, e: int, kind: string, v: string>>"
+
+
+def spans(kind: str, pattern: str, text: str = "text") -> Column:
     """array<struct<s, k, e, kind, v>>: the valid matches in ``text``; s and e count code points."""
-    p = pattern.replace("\\", "\\\\")
-    step = (
-        f"aggregate(zip_with(regexp_extract_all(text, '{p}', 0), split(text, '{p}', -1), (m, g) -> struct(m AS m, g AS g)), "
-        "struct(0 AS at, cast(array() AS array<struct<s: int, k: int, e: int, kind: string, v: string>>) AS o), "
-        "(a, z) -> struct(a.at + length(z.g) + coalesce(length(z.m), 0) AS at, "
-        f"CASE WHEN z.m IS NOT NULL AND {_valid(kind, 'z.m')} THEN concat(a.o, array(struct(a.at + length(z.g) AS s, {KINDS.index(kind) if kind in KINDS else 9} AS k, a.at + length(z.g) + length(z.m) AS e, '{kind}' AS kind, z.m AS v))) ELSE a.o END AS o), a -> a.o)"
+    p, none = pattern.replace("\\", "\\\\"), f"cast(array() AS {_SPANS})"
+    place = KINDS.index(kind) if kind in KINDS else 9
+    one = f"struct(a.at + length(z.g) AS s, {place} AS k, a.at + length(z.g) + length(z.m) AS e, '{kind}' AS kind, z.m AS v)"
+    block = (
+        f"aggregate(slice(zz, n * {BLOCK} + 1, {BLOCK}), struct(acc.at AS at, {none} AS o), (a, z) -> struct(a.at + length(z.g) + coalesce(length(z.m), 0) AS at, "
+        f"CASE WHEN z.m IS NOT NULL AND {_valid(kind, 'z.m')} THEN concat(a.o, array({one})) ELSE a.o END AS o))"
     )
-    none = "cast(array() AS array<struct<s: int, k: int, e: int, kind: string, v: string>>)"
+    whole = f"aggregate(sequence(0, (size(zz) - 1) div {BLOCK}), struct(0 AS at, {none} AS o), (acc, n) -> aggregate(array({block}), acc, (p, q) -> struct(q.at AS at, concat(p.o, q.o) AS o)), r -> r.o)"
+    # the matches and the gaps before them, looked up once
+    step = f"element_at(transform(array(zip_with(regexp_extract_all({text}, '{p}', 0), split({text}, '{p}', -1), (m, g) -> struct(m AS m, g AS g))), zz -> {whole}), 1)"
     # texts that lack what every match has are not scanned
-    need = {"email": "instr(text, '@') > 0", "ip": "text rlike '[0-9][.][0-9]'", "card": "text rlike '[0-9]{4}|[0-9][ -][0-9]'", "phone": "instr(text, '+') > 0", "candidate": "text rlike '[0-9@]'"}
-    return F.expr(f"if({need[kind]}, {step}, {none})")
+    need = {
+        "email": "instr({0}, '@') > 0", "ip": "{0} rlike '[0-9][.][0-9]'", "card": "{0} rlike '[0-9]{{4}}|[0-9][ -][0-9]'", "phone": "instr({0}, '+') > 0", "candidate": "{0} rlike '[0-9@]'",
+        "secret": "{0} rlike 'AKIA|ASIA|gh[opsur]_|sk_live_|(?i:passw|pwd|secret|token|key)'",
+    }
+    return F.expr(f"if({need[kind].format(text)}, {step}, {none})")
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, base (sorted spans), near (candidates outside them), each with the words around it."""
+    """doc_id, text_hash, base (sorted seed spans), near (candidates outside them), each with the words around it."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", *[spans(k, p).alias(k) for k, p in BASE.items()], F.array_union(spans("candidate", CANDIDATE), spans("candidate", WIDE)).alias("other"))
-    rows = rows.select("doc_id", "text", F.sort_array(F.concat(*KINDS)).alias("b"), "other")
-    # beyond this many base spans in one text the overlap test would be quadratic: runs are tested by position instead
-    outside = F.expr("filter(other, c -> NOT exists(b, x -> x.s < c.e AND c.s < x.e))")
-    rows = rows.select("doc_id", "text", "b", F.when(F.size("other") > 0, outside).otherwise(F.col("other")).alias("c"))
+    rows = rows.select("doc_id", "text", *[spans(k, p).alias(k) for k, p in SEEDS.items()])
+    rows = rows.select("doc_id", "text", F.sort_array(F.concat(*KINDS)).alias("b"))
+    # the text with seeds blanked out, in pieces that end with a seed: of overlapping ones the first counts whole
+    reach = f"aggregate(b, struct(0 AS at, cast(array() AS array<struct<s: int, e: int>>) AS o), (a, x) -> struct(greatest(a.at, x.e) AS at, IF(x.e > a.at, concat(a.o, array(struct(greatest(a.at, x.s) AS s, x.e AS e))), a.o) AS o), a -> a.o)"
+    rows = rows.withColumn("u", F.expr(f"if(size(b) > 0, {reach}, cast(array() AS array<struct<s: int, e: int>>))"))
+    blank = "array_join(concat(transform(u, (x, i) -> concat(substring(text, IF(i = 0, 0, u[i - 1].e) + 1, x.s - IF(i = 0, 0, u[i - 1].e)), repeat('\\u0001', x.e - x.s))), array(substring(text, u[size(u) - 1].e + 1))), '')"
+    rows = rows.withColumn("rest", F.expr(f"if(size(u) > 0, {blank}, text)"))
+    rows = rows.select("doc_id", "text", "b", F.array_union(spans("candidate", CANDIDATE, "rest"), spans("candidate", WIDE, "rest")).alias("c"))
+    edge = r"\\s\\x22\\x27\\x7B\\x7D\\x5B\\x5D()<>=:,;"
     around = (
         "transform({0}, x -> struct(x.s AS s, x.k AS k, x.e AS e, x.kind AS kind, x.v AS v, "
-        "lower(regexp_extract(substring(text, greatest(1, x.s - 39), least(40, x.s)), '([^\\\\s\\\\x22\\\\x27\\\\x7B\\\\x7D\\\\x5B\\\\x5D()<>=:,;]{{1,30}})[\\\\s\\\\x22\\\\x27\\\\x7B\\\\x7D\\\\x5B\\\\x5D()<>=:,;]+$', 1)) AS l, "
-        "lower(regexp_extract(substring(text, x.e + 1, 40), '^[\\\\s.\\\\x22\\\\x27\\\\x7B\\\\x7D\\\\x5B\\\\x5D()<>=:,;]+([^\\\\s\\\\x22\\\\x27\\\\x7B\\\\x7D\\\\x5B\\\\x5D()<>=:,;]{{1,30}})', 1)) AS r))"
+        f"lower(regexp_extract(substring(text, greatest(1, x.s - 39), least(40, x.s)), '([^{edge}]{{{{1,30}}}})[{edge}]+$', 1)) AS l, "
+        f"lower(regexp_extract(substring(text, x.e + 1, 40), '^[.{edge}]+([^{edge}]{{{{1,30}}}})', 1)) AS r))"
     )
     return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.expr(around.format("b")).alias("base"), F.expr(around.format("c")).alias("near"))
 
 
 def _edges(table: DataFrame) -> DataFrame:
     """(pattern, value, kind): distinct links of the graph; kind is null for unseen values."""
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("o.v", "[0-9]+", "9"), "[A-Za-z]+", "a"), "(?:[.]a)+", ".a")
+    # letters and digits that alternate say no more than that they do
+    mixed = F.regexp_replace("o.v", "(?:[A-Za-z]+[0-9]+){2}[A-Za-z0-9]*|(?:[0-9]+[A-Za-z]+){2}[A-Za-z0-9]*", "9a9")
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(mixed, "[0-9]+", "9"), "[A-Za-z]+", "a"), "(?:[.]a)+", ".a")
     both = table.select(F.explode(F.concat("base", "near")).alias("o")).select(F.col("o.v").alias("value"), F.when(F.col("o.kind") != "candidate", F.col("o.kind")).alias("kind"), "o.l", "o.r", shape.alias("shape"))
     kinds = F.array(
         F.when(F.length("l") > 0, F.concat_ws(" ", F.lit("L"), "l", "shape")), F.when(F.length("r") > 0, F.concat_ws(" ", F.lit("R"), "r", "shape")),
@@ -94,31 +118,30 @@ def _edges(table: DataFrame) -> DataFrame:
 
 
 def learned(table: DataFrame) -> DataFrame:
-    """(value, new_kind, score) of unseen values that patterns of high confidence reach."""
+    """(value, new_kind) of unseen values that patterns of high confidence reach."""
     edges = written(_edges(table), "edges")
-    seeds = edges.where("kind is not null").select("value", "kind").distinct()
+    known = written(edges.where("kind is not null").select("value", "kind").distinct(), "seeds")
+    seeds = known
     # patterns of too few values can never count: they leave the graph
-    large = edges.groupBy("pattern").agg(F.countDistinct("value").alias("n")).where(F.col("n") >= SUPPORT).select("pattern")
-    graph = written(edges.join(large, "pattern").select("pattern", "value").distinct(), "graph")
-    total = graph.groupBy("pattern").agg(F.count("*").alias("n"))
-    known = seeds.withColumn("score", F.lit(1.0))
-    scored = None
-    for _ in range(ROUNDS):  # what the last round was sure of counts among a pattern's seeds
-        sure = F.sum((F.col("score") >= CONFIDENCE).cast("int"))
-        good = graph.join(known, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("good"), sure.alias("sure")).where(F.col("sure") >= SUPPORT)
-        confidence = good.join(total, "pattern").select("pattern", "kind", (F.col("good") / (F.col("n") + DOUBT)).alias("c"))
-        reach = graph.join(seeds.select("value").distinct(), "value", "left_anti").join(confidence, "pattern").groupBy("value", "kind").agg(F.max("c").alias("score"))
-        scored = written(reach, "scores")
-        known = seeds.withColumn("score", F.lit(1.0)).unionByName(scored)
-    best = scored.groupBy("value").agg(F.max(F.struct("score", "kind")).alias("m")).where(F.col("m.score") >= CONFIDENCE)
-    return best.select("value", F.col("m.kind").alias("new_kind"), F.col("m.score").alias("score"))
+    large = edges.groupBy("pattern").agg(F.countDistinct("value").alias("n")).where(F.col("n") >= SUPPORT)
+    graph = written(edges.select("pattern", "value").distinct().join(written(large, "large"), "pattern"), "graph")
+    discard_table(edges)
+    while True:  # every round knows more values than the last, of a finite number
+        good = graph.join(known, "value").groupBy("pattern", "kind").agg(F.count("*").alias("good"), F.first("n").alias("n")).where(F.col("good") >= SUPPORT)
+        confident = written(good.where(F.col("good") / (F.col("n") + DOUBT) >= CONFIDENCE).withColumn("c", F.col("good") / (F.col("n") + DOUBT)), "patterns")
+        reach = graph.join(confident.select("pattern", "kind", "c"), "pattern").groupBy("value").agg(F.max(F.struct("c", "kind")).alias("m"))
+        fresh = written(reach.join(known.select("value"), "value", "left_anti").select("value", F.col("m.kind").alias("kind")), "fresh")
+        if fresh.isEmpty():
+            break
+        known = written(known.unionByName(fresh), "known")
+    return known.join(seeds.select("value"), "value", "left_anti").select("value", F.col("kind").alias("new_kind"))
 
 
 def personal_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, base and all_spans (array<struct<s, k, e>>) for every row of ``docs``.
 
-    k is the kind's place in KINDS; spans are sorted by start, then kind. A null text is an empty
-    one without spans. Rows with a null or repeated id are each returned. Other columns are
+    k is the kind's place in KINDS; base holds all seeds, secrets too; spans are sorted by start,
+    then kind. A null text is an empty one without spans. Rows with a null or repeated id are each returned. Other columns are
     ignored. An empty table gives no rows and nothing is learned.
     """
     table = written(found(docs), "found")
@@ -157,7 +180,7 @@ def redacted(docs: DataFrame) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents; counts and digest of base spans, and all spans."""
-    rows = personal_spans(documents(spark, sf_dir))
-    counts = [F.expr(f"cast(size(filter(base, x -> x.k = {i})) AS bigint)").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return rows.select("doc_id", *counts, F.sha2(told("base").cast("binary"), 256).alias("base_sha256"), told("all_spans").alias("spans"))
+    """All documents; counts and digest of base spans, and all spans, with their number."""
+    rows = personal_spans(documents(spark, sf_dir)).withColumn("base", F.expr(f"filter(base, x -> x.k < {len(BASE)})"))
+    counts = [F.expr(f"cast(size(filter(base, x -> x.k = {i})) AS bigint)").alias(f"n_{k}") for i, k in enumerate(BASE)]
+    return rows.select("doc_id", *counts, F.size("all_spans").cast("long").alias("n_spans"), F.sha2(told("base").cast("binary"), 256).alias("base_sha256"), told("all_spans").alias("spans"))
