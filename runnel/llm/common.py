@@ -280,6 +280,8 @@ def tokenizer(name: str) -> CachedTokenizer:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    for kept in KEPT:
+        kept.clear()
     return CachedTokenizer(name)
 
 
@@ -287,13 +289,14 @@ def tokenizer(name: str) -> CachedTokenizer:
 KEPT: list[dict] = []
 
 
-def fresh_worker() -> None:
-    """Frees what other operators' tasks have left in this worker process."""
+def fresh_worker(own: dict | None = None) -> None:
+    """Frees what other operators' tasks have left in this worker process; ``own`` stays."""
     import gc
 
-    if tokenizer.cache_info().currsize or any(KEPT):
+    if tokenizer.cache_info().currsize or any(k for k in KEPT if k is not own):
         tokenizer.cache_clear()
         for kept in KEPT:
-            kept.clear()
+            if kept is not own:
+                kept.clear()
         gc.collect()
     pa.default_memory_pool().release_unused()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runnel.llm.common import held_out
+from runnel.llm.common import fresh_worker, held_out
 
 _UPPER, _LOWER, _DIGIT = slice(65, 91), slice(97, 123), slice(48, 58)
 _MARKS = np.frombuffer(b".,;:!?\"'()-", np.uint8)
@@ -45,6 +45,7 @@ def described(docs: DataFrame, function, names: list[str]) -> DataFrame:
     """(doc_id, row, x): a vector of statistics for each row of ``docs``; row tells rows of one id apart."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)

@@ -305,8 +305,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # of a class the least id stands for all; most texts are alone in theirs. Written, so that the join below deals its hot keys out
     heads = written(usable.groupBy(*same).agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last").drop("last"), "heads")
     large = f"n_shingles >= {percent / (100 - percent) if percent < 100 else 2**31}"  # smaller sets link only to equal ones
-    headed = usable.where(large).join(heads, same, "left")
-    classes = written(headed.where("head is null or head = doc_id").dropDuplicates(["doc_id", *same]).select("doc_id", "sketch", "keys"), "classes")
+    # repeats of a row go before the join, whose result can then be dealt out where a class is hot
+    headed = usable.where(large).dropDuplicates(["doc_id", *same]).join(heads, same, "left")
+    classes = written(headed.where("head is null or head = doc_id").select("doc_id", "sketch", "keys"), "classes")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
     first = written(candidates(forest_rows(classes), percent), "candidates")
     pairs = written(first.where("a is not null").select("a", "b").distinct(), "pairs")

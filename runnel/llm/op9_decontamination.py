@@ -171,7 +171,7 @@ def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
     schema = "h long, item_id long, item_hash long, k int, size int, item_windows int, own array<string>"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fresh_worker()
+        fresh_worker(_WORDS)
         for batch in batches:
             rows = []
             for item, key, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -206,7 +206,7 @@ def document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> Dat
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fresh_worker()
+        fresh_worker(_WORDS)
         bits = sent.value.view(np.uint64)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()))
         names = [c.split()[0] for c in schema.split(", ")]
