@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+import tempfile
 
 import numpy as np
 import pandas as pd
@@ -55,7 +57,7 @@ def track(peaks: DataFrame, least: int = 5) -> DataFrame:
     return peaks.groupBy("recording_id").applyInPandas(run, f"recording_id {kind}, track_id long, frame_idx long, frequency double, amplitude double")
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """recording_id, node, component: the least node that a chain of edges (recording_id, a, b) reaches.
 
     Labels spread along edges and jump to their label's label, so rounds grow with the logarithm
@@ -63,13 +65,16 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     """
     sc = edges.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="runnel-"))
+        folder = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="runnel-")
+        sc.setCheckpointDir(folder)
     both = edges.select("recording_id", "a", "b").union(edges.select("recording_id", F.col("b"), F.col("a"))).distinct().checkpoint()
     now = both.groupBy("recording_id", F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")).checkpoint()
     last = None
-    for _ in range(rounds):
+    while True:  # labels only ever fall
         met = both.join(now, (both.recording_id == now.recording_id) & (both.b == now.node)).select(both.recording_id, F.col("a").alias("node"), "component")
         spread = met.union(now.select("recording_id", "node", "component")).groupBy("recording_id", "node").agg(F.min("component").alias("component"))
         jump = spread.select("recording_id", F.col("node").alias("component"), F.col("component").alias("_c"))

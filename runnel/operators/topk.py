@@ -35,19 +35,18 @@ def suppressed(density: np.ndarray, reach: int) -> np.ndarray:
 
 
 def recursive_cuts(data: np.ndarray, least: int) -> np.ndarray:
-    """0/1 per frame: the largest value cuts, ``least`` frames on both sides are closed, and both
-    sides go on. Pieces with nothing open above minus infinity have no cut."""
+    """0/1 per frame: the largest value of a piece cuts (the first of equal ones), ``least`` frames
+    before it and as many after it are closed, and what is left on both sides goes on. So every
+    series that is not empty has a cut, wherever its largest value is."""
     cut = np.zeros(len(data), int)
     stack = [(0, len(data))]
     while stack:
         lo, hi = stack.pop()
-        # a cut is at least `least` frames from both ends of its piece
-        a, b = lo + least, hi - least
-        if b <= a:
+        if hi <= lo:
             continue
-        i = a + int(np.argmax(data[a:b]))
+        i = lo + int(np.argmax(data[lo:hi]))
         cut[i] = 1
-        stack += [(lo, i), (i, hi)]
+        stack += [(lo, i - least), (i + least + 1, hi)]
     return cut
 
 

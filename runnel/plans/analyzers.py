@@ -35,6 +35,8 @@ class Context:
     prototypes: list[list[float]] = field(default_factory=list)
     onsets: DataFrame | None = None
     done: dict[str, dict[str, DataFrame]] = field(default_factory=dict)
+    #: with which parameters the results in ``done`` were asked for
+    asked: dict[str, dict] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -60,20 +62,36 @@ def analyzer(id: str, parents: tuple[str, ...] = (), rate: int | None = None, **
     return add
 
 
-def run(id: str, ctx: Context, **options) -> dict[str, DataFrame]:
-    """The results of an analyzer by id; parents run first, each once. Unknown or mistyped parameters raise."""
+#: Fixed values of parameters that are choices, those a parent takes from its child, and those that can be None.
+CHOICES, SHARED, OPTIONAL = {"sad_model": ("etape", "maya")}, ("sad_model",), ("dllh_min", "dllh_max")
+
+
+def checked(id: str, options: dict) -> Analyzer:
+    """The analyzer of this id; unknown or mistyped parameters and values that are no choice raise."""
     a = REGISTRY[id]
-    if a.rate and ctx.rate != a.rate:
-        raise ValueError(f"{id} needs {a.rate} samples a second, not {ctx.rate}")
     for name, value in options.items():
         if name not in a.parameters:
             raise ValueError(f"{id} has no parameter {name}")
         default = a.parameters[name]
+        if name in CHOICES and value not in CHOICES[name]:
+            raise ValueError(f"{name} of {id} must be one of {CHOICES[name]}")
+        if value is None and name in OPTIONAL:
+            continue
         if default is not None and not isinstance(value, (int, float) if isinstance(default, float) else type(default)):
             raise ValueError(f"{name} of {id} must be like {default!r}")
+    return a
+
+
+def run(id: str, ctx: Context, **options) -> dict[str, DataFrame]:
+    """The results of an analyzer by id, its parameters checked; parents run first, each once, with
+    the values of parameters in SHARED."""
+    a = checked(id, options)
+    if a.rate and ctx.rate != a.rate:
+        raise ValueError(f"{id} needs {a.rate} samples a second, not {ctx.rate}")
     for p in a.parents:
-        if p not in ctx.done:
-            ctx.done[p] = run(p, ctx)
+        told = {k: v for k, v in options.items() if k in SHARED and k in REGISTRY[p].parameters}
+        if p not in ctx.done or ctx.asked.get(p, {}) != told:
+            ctx.done[p], ctx.asked[p] = run(p, ctx, **told), told
     return a.function(ctx, **{**a.parameters, **options})
 
 
@@ -344,25 +362,33 @@ def _models(ctx: Context, id: str) -> DataFrame:
     return ctx.gmm
 
 
-@analyzer("limsi_sad", rate=16000, yes="speech", no="nonspeech", dews=0.2, speech_threshold=1.0, adapt=False, exclude=0.01, keep=0.2, dllh_bounds=10.0)
-def sad(ctx: Context, yes: str, no: str, dews: float, speech_threshold: float, adapt: bool, exclude: float, keep: float, dllh_bounds: float) -> dict[str, DataFrame]:
+def _of_model(models: DataFrame, name: str) -> DataFrame:
+    """The mixtures called ``name.`` and something, by that; all of them where none is."""
+    own = models.where(F.startswith("model_id", F.lit(f"{name}.")))
+    return models if own.isEmpty() else own.withColumn("model_id", F.substring("model_id", len(name) + 2, 1000))
+
+
+@analyzer("limsi_sad", rate=16000, sad_model="etape", yes="speech", no="nonspeech", dews=0.2, speech_threshold=1.0, dllh_min=-10.0, dllh_max=10.0, adapt=False, exclude=0.01, keep=0.2)
+def sad(ctx: Context, sad_model: str, yes: str, no: str, dews: float, speech_threshold: float, dllh_min: float | None, dllh_max: float | None, adapt: bool, exclude: float, keep: float) -> dict[str, DataFrame]:
+    """The ratio is bounded only where both bounds are given."""
     f = plan_features(ctx, SAD_PLANS)
-    llr = M.log_ratio(M.log_likelihood(f, _models(ctx, "limsi_sad")), yes, no)
+    llr = M.log_ratio(M.log_likelihood(f, _of_model(_models(ctx, "limsi_sad"), sad_model)), yes, no)
     if adapt:
         w = int(dews * ctx.rate / 256)
         sides = W.rank_slices(W.smooth(llr, "llr", w, "s"), "s", exclude, keep).select("recording_id", "frame_idx", "side")
         long = f.select("recording_id", "frame_idx", F.posexplode("f").alias("dim", "x"))
         trained = long.join(sides, ["recording_id", "frame_idx"]).groupBy("recording_id", "side", "dim").agg(F.avg("x").alias("mu"), F.var_pop("x").alias("var"))
         llr = M.gaussian_ratio(long, trained, ["recording_id", "frame_idx"])
-    llr = llr.withColumn("llr", C.clip("llr", -dllh_bounds, dllh_bounds))
+    if dllh_min is not None and dllh_max is not None:
+        llr = llr.withColumn("llr", C.clip("llr", dllh_min, dllh_max))
     d = W.dilate_erode(llr, "llr", int(dews * ctx.rate / 256), "deed").withColumn("on0", F.col("deed") > speech_threshold)
     t = 256 / ctx.rate
     frame = lambda c: d.select("recording_id", "frame_idx", (F.col("frame_idx") * t).alias("t"), F.col(c).alias("value"))
     return {"limsi_sad.sad_lhh_diff": frame("llr"), "limsi_sad.sad_de_lhh_diff": frame("deed"), "limsi_sad.sad_segments": _names(S.timed(S.runs(d, "on0"), t), "Not Speech", "Speech")}
 
 
-@analyzer("limsi_diarization", ("limsi_sad",), rate=16000, gdiff_win_size_sec=5.0, min_seg_size_sec=2.5, bic_penalty_coeff=0.5, recentre=False)
-def diarization(ctx: Context, gdiff_win_size_sec: float, min_seg_size_sec: float, bic_penalty_coeff: float, recentre: bool) -> dict[str, DataFrame]:
+@analyzer("limsi_diarization", ("limsi_sad",), rate=16000, sad_model="etape", gdiff_win_size_sec=5.0, min_seg_size_sec=2.5, bic_penalty_coeff=0.5, recentre=False)
+def diarization(ctx: Context, sad_model: str, gdiff_win_size_sec: float, min_seg_size_sec: float, bic_penalty_coeff: float, recentre: bool) -> dict[str, DataFrame]:
     t = 256 / ctx.rate
     w, least = int(gdiff_win_size_sec / t), int(min_seg_size_sec / t)
     llr = ctx.done["limsi_sad"]["limsi_sad.sad_lhh_diff"]
@@ -385,7 +411,7 @@ def diarization(ctx: Context, gdiff_win_size_sec: float, min_seg_size_sec: float
 def speech_music_noise(ctx: Context, penalty: float) -> dict[str, DataFrame]:
     gmm = _models(ctx, "labri_speech_music_noise")
     llh = M.log_likelihood(plan_features(ctx, SMN_PLANS), gmm)
-    names = sorted(r[0] for r in gmm.select("model_id").distinct().limit(1000).collect())
+    names = sorted(r[0] for r in gmm.select("model_id").distinct().collect())
     path = M.viterbi(llh, names, penalty)
     out = {}
     for kind, to in (("speech", 1), ("music", 0)):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from runnel.plans import queries_joins, queries_models, queries_python, queries_scores, queries_segments, queries_windows
+from runnel.plans import queries_joins, queries_models, queries_python, queries_scores, queries_segments, queries_signal, queries_windows
 
-MODULES = (queries_windows, queries_segments, queries_joins, queries_scores, queries_models, queries_python)
+MODULES = (queries_windows, queries_segments, queries_joins, queries_scores, queries_models, queries_python, queries_signal)
 
 
 def queries() -> dict:

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from runnel.plans import analyzers as A
@@ -29,3 +30,34 @@ def test_parameters_are_checked(spark):
         A.run("limsi_sad", A.Context(ctx.blocks, 8000))
     with pytest.raises(ValueError):
         A.run("limsi_sad", ctx)
+
+
+def test_graphers_name_parameters_that_analyzers_take():
+    from runnel.plans.graphers import GRAPHERS
+
+    for _, id, result, parameters, _ in GRAPHERS:
+        assert result.partition(".")[0] == A.checked(id, parameters).id
+    A.checked("limsi_sad", {"dllh_min": None, "dllh_max": 4})
+    for wrong in ({"sad_model": "other"}, {"dews": "long"}, {"dews": None}, {"dllh_bounds": 1.0}):
+        with pytest.raises(ValueError):
+            A.checked("limsi_sad", wrong)
+
+
+def test_sad_takes_the_named_model(spark):
+    from runnel.sources.audio import from_arrays
+
+    rng = np.random.default_rng(4)
+    blocks = from_arrays(spark, {"a": (16000, rng.normal(size=16000))})
+
+    def models(ids):
+        return spark.createDataFrame([(n, 0, 1.0, [m] * 40, [5.0] * 40) for n, m in ids], "model_id string, k int, weight double, mu array<double>, var array<double>")
+
+    def scores(gmm, **options):
+        rows = A.run("limsi_sad", A.Context(blocks, 16000, gmm), **options)["limsi_sad.sad_lhh_diff"].orderBy("frame_idx").collect()
+        return [r.value for r in rows]
+
+    one, two = [("speech", 0.0), ("nonspeech", 3.0)], [("speech", 5.0), ("nonspeech", 0.0)]
+    both = models([(f"etape.{n}", m) for n, m in one] + [(f"maya.{n}", m) for n, m in two])
+    assert scores(both) == scores(models(one)) and scores(both, sad_model="maya") == scores(models(two)) != scores(both)
+    free = scores(both, dllh_max=None)
+    assert max(map(abs, free)) > 10 >= max(map(abs, scores(both)))

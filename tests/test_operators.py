@@ -72,9 +72,17 @@ def test_suppression_keeps_the_sum():
 
 
 def test_recursive_cuts_keep_their_distance():
-    cut = K.recursive_cuts(np.random.default_rng(4).random(200), 10)
-    assert len(cut) == 200 and np.diff(np.flatnonzero(cut)).min() >= 10
-    assert not K.recursive_cuts(np.ones(5), 10).any()
+    def cuts(x, at):  # the rule by itself: the largest of the piece, then what lies beyond `least` on both sides
+        if not len(x):
+            return []
+        i = max(range(len(x)), key=lambda k: (x[k], -k))
+        return cuts(x[: max(0, i - 10)], at) + [at + i] + cuts(x[i + 11 :], at + i + 11)
+
+    for seed in range(20):
+        x = np.random.default_rng(seed).integers(0, 30, 10 * seed).astype(float)
+        cut = np.flatnonzero(K.recursive_cuts(x, 10)).tolist()
+        assert cut == cuts(x.tolist(), 0) and (len(cut) < 2 or np.diff(cut).min() > 10)
+    assert K.recursive_cuts(np.ones(5), 10).tolist() == [1, 0, 0, 0, 0] and len(K.recursive_cuts(np.zeros(0), 3)) == 0
 
 
 def test_divergence_finds_a_change():
