@@ -2,8 +2,8 @@
 
 Statistics of each whole text are computed once and written. Each partition of labelled rows sums
 its share of the normal equations; Spark adds the shares by cell, so what reaches the driver is one
-matrix, whatever the number of rows. Half of the calibration comes from rows that the regression
-has not seen, summed over a fixed grid of scores before the monotone fit.
+matrix, whatever the number of rows. The calibration comes from a third of the labelled rows, which the
+regression has not seen, summed over a fixed grid of scores before the monotone fit.
 """
 
 from __future__ import annotations

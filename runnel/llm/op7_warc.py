@@ -3,8 +3,8 @@
 A file holds one compressed member per record. Of equal payloads the one with the largest page_id
 is written in full, the others are revisits that name it. The reader checks each member (gzip
 trailer, version line, lengths, block digest); where a check fails it searches for the next member
-or version line that passes, goes on from there and logs the byte gap it left. It reads in bounded
-steps, so a file of any size needs memory for one record.
+or version line that passes, goes on from there and logs the byte gap it left. It reads in steps and
+holds one member unpacked, up to ``Salvage.limit`` bytes; a larger record is logged as a gap.
 """
 
 from __future__ import annotations

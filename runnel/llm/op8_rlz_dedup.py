@@ -1,10 +1,10 @@
-"""Duplicate passages by relative Lempel-Ziv parsing against all earlier documents.
+"""Duplicate passages against all earlier documents, told as factors.
 
 The reference is every document, indexed in blocks (the hash partitions of a shuffle) by its
-windows of ``width`` words. A document is factored greedily from left to right: a factor is the
-longest run of windows that one earlier document holds, and the next factor starts where that run
-ends. Windows that straddle the boundary of two factors are looked up like all others, so a copy
-that begins or ends there is found too. The words of all factors are the duplicate spans.
+windows of ``width`` words. What goes is settled window by window, by 96 bits of hash: a window
+names the least document that holds it, so one that straddles two factors is found like all others.
+Consecutive windows of one source are then told as a factor. This stands in for a greedy parse:
+a factor has no place in its source and ends where a lesser document shares the next window.
 
 To keep the index small, each window names an anchor: the least hash among its short word runs.
 Equal windows name equal anchors, so only windows whose anchor two different texts have can match;
