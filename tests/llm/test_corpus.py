@@ -335,7 +335,7 @@ def test_op7_salvage():
     assert list(o7.Salvage(io.BytesIO(b""))) == []
 
 
-def test_op8(docs, none):
+def test_op8(docs, none, monkeypatch):
     got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in o8.duplicate_spans(docs, 50).collect())
     starts, want = {}, Counter()
     for i, t in TEXTS:
@@ -354,6 +354,52 @@ def test_op8(docs, none):
         want[i, len(w), len(w) - len(left), hashlib.sha256(" ".join(left).encode()).hexdigest()] += 1
     assert got == want
     assert o8.duplicate_spans(none, 50).count() == 0
+    # dealing common windows to several tasks changes nothing
+    monkeypatch.setattr(o8, "LEAST", 1)
+    monkeypatch.setattr(o8, "SHARE", 100)
+    assert got == Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in o8.duplicate_spans(docs, 50).collect())
+
+
+def test_op8_parses_greedily(spark):
+    """Every span stands at its place in its source; factors are the longest runs of the reference,
+    and what else goes lies across their boundaries. Against a parse by comparing words."""
+    r, width, texts = random.Random(8), 6, []
+    pool = [words(r.randint(5, 30), k) for k in range(12)]
+    for _ in range(60):
+        text = []
+        for _ in range(r.randint(1, 5)):
+            passage = r.choice(pool)
+            text += words(r.randint(1, 8), r.random()) if r.random() < 0.4 else passage[r.randint(0, len(passage) // 2) :][: r.randint(1, 40)]
+        texts.append(text)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {row.doc_id: row for row in o8.duplicate_spans(docs, width).collect()}
+    place = {}
+    crossed = 0
+    for i, t in enumerate(texts):
+        own = [tuple(t[k : k + width]) for k in range(len(t) - width + 1)]
+        spans = [tuple(x) for x in got[i].spans]
+        for a, n, source, at in spans:
+            assert source < i and n >= width and t[a : a + n] == texts[source][at : at + n]
+        parse, k = [], 0
+        while k < len(own):
+            if own[k] not in place:
+                k += 1
+                continue
+            source, at = place[own[k]]
+            n = 1
+            while k + n < len(own) and place.get(own[k + n]) == (source, at + n):
+                n += 1
+            parse.append((k, n - 1 + width, source, at))
+            k += n - 1 + width
+        whole = " ".join(t) in {" ".join(x) for x in texts[:i]} and len(t) >= width
+        if not whole:
+            assert set(parse) <= set(spans)
+            crossed += len(spans) - len(parse)
+        gone = {x for k, w in enumerate(own) if w in place for x in range(k, k + width)}
+        assert gone == {x for a, n, *_ in spans for x in range(a, a + n)} and got[i].n_removed == len(gone)
+        for k, w in enumerate(own):
+            place.setdefault(w, (i, k))
+    assert crossed
 
 
 def test_op9(spark, docs, none, monkeypatch):
