@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runnel.llm.common import WordSequence, documents, written
+from runnel.llm.common import WordSequence, discard_table, documents, written
 
 #: Words of an anchor's run.
 SHORT = 16
@@ -152,16 +152,18 @@ def duplicate_spans(docs: DataFrame, width: int = 50) -> DataFrame:
     shared = marks.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("anchor")
     near = marks.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("shared"))
     near = written(near, "anchors")
-    found = windows(texts.join(near, "doc_id").where("text is not null"), width)
+    found = written(windows(texts.join(near, "doc_id").where("text is not null"), width), "windows")
     first = found.groupBy("h", "g").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.min_by("lead", "doc_id").alias("place"), F.count("*").alias("n")).where("source < last").drop("last")
     first = written(first, "reference")
     # at most SHARE windows can each be more than one in SHARE of all rows: their rows are dealt to several tasks
     much = max(LEAST, (first.agg(F.sum("n")).first()[0] or 0) // SHARE)
     dealt = first.where(F.col("n") > much).select("h", "g", F.expr(f"n div {much} + 1").alias("parts"))
-    found = found.join(F.broadcast(dealt), ["h", "g"], "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.coalesce("parts", F.lit(1).cast("long"))))
-    first = first.select("h", "g", "source", "place", F.explode(F.expr(f"sequence(0L, if(n > {much}, n div {much}, 0L))")).alias("salt"))
-    hits = found.join(first, ["h", "g", "salt"]).where("source < doc_id").groupBy("doc_id").agg(*[F.collect_list(c).alias(c) for c in ("at", "source", "place")])
+    rows = found.join(F.broadcast(dealt), ["h", "g"], "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.coalesce("parts", F.lit(1).cast("long"))))
+    places = first.select("h", "g", "source", "place", F.explode(F.expr(f"sequence(0L, if(n > {much}, n div {much}, 0L))")).alias("salt"))
+    hits = rows.join(places, ["h", "g", "salt"]).where("source < doc_id").groupBy("doc_id").agg(*[F.collect_list(c).alias(c) for c in ("at", "source", "place")])
     hits = written(hits, "hits")
+    for done in (near, found, first):
+        discard_table(done)
     cut = removed(texts.join(hits, "doc_id").where("text is not null"), width).dropDuplicates(["id", "own_sha"])
     whole = table.join(heads, "sha", "left").join(cut, (F.col("doc_id") == F.col("id")) & (F.col("sha") == F.col("own_sha")), "left")
     copy = F.coalesce(F.col("head") < F.col("doc_id"), F.lit(False))
