@@ -4,6 +4,10 @@ Each rule looks at one statistic of a text and votes good, bad or abstains. Vote
 collapse to at most 3 ** len(RULES) patterns with counts; expectation-maximisation over that table
 estimates how often each rule votes bad on bad and on good documents, and every document gets the
 posterior probability that it is good. An abstention says nothing.
+
+What a rule is for bounds its rates: it votes bad on at most one good document in a hundred and on
+at least one bad one in twenty, and at least half of all documents are good. Without labels, nothing
+else tells the good side from the bad; where an estimate lies on a bound, the bound decides.
 """
 
 from __future__ import annotations
@@ -27,7 +31,11 @@ RULES = {
     "distinct_words": ("if(n_words >= 40, n_distinct / n_words / least(1.0, 6 / ln(n_words)), null)", "v < 0.15", "v > 0.3"),
     "sentences": ("n_stops / n_words", "v < 0.004 and n_words > 100", "v between 0.02 and 0.3"),
 }
-ROUNDS, START_BAD, START_GOOD, PRIOR = 25, 0.3, 0.004, 0.9
+START_BAD, START_GOOD, PRIOR = 0.3, 0.004, 0.9
+#: Least change of a rate, or of the share of good documents, that asks for another round.
+LEAST_CHANGE = 1e-6
+#: A rule votes bad on at most GOOD_MOST of good documents and on at least BAD_LEAST of bad ones; the share of good ones is in SHARE.
+GOOD_MOST, BAD_LEAST, SHARE = 0.01, 0.05, (0.5, 0.99)
 
 
 def _repeated(window: int) -> str:
@@ -77,32 +85,32 @@ def estimated(patterns: list[tuple[tuple[int, ...], int]], names: list[str]) ->
     """Share of good documents and each rule's rates, by expectation-maximisation over (votes, n).
 
     There are at most 3 ** len(names) patterns whatever the number of documents, so the sums are
-    taken on the driver, with no job for each round.
+    taken on the driver, with no job for each round. A round takes the likeliest values within
+    GOOD_MOST, BAD_LEAST and SHARE, given a few assumed votes: so no rule changes sides, and the
+    likelihood rises until no value moves by LEAST_CHANGE. No round is the last before that. With no
+    patterns, the values are those it starts from.
     """
     prior, bad = PRIOR, {r: (START_GOOD, START_BAD) for r in names}
-    total = sum(n for _, n in patterns)
-    for _ in range(ROUNDS if total else 0):
-        share, sums = 0.0, {r: [0.0] * 4 for r in names}
+    total, moved = sum(n for _, n in patterns), 1.0 if patterns else 0.0
+    while moved >= LEAST_CHANGE:
+        told = [(math.log(g / b), math.log((1 - g) / (1 - b))) for g, b in map(bad.get, names)]
+        start, share = math.log(prior / (1 - prior)), 0.0
+        sums = [[0.0] * 4 for _ in names]
         for vote, n in patterns:
-            odds = math.log(prior / (1 - prior))
-            for r, v in zip(names, vote):
-                g, b = bad[r]
-                odds += 0.0 if not v else math.log(g / b) if v < 0 else math.log((1 - g) / (1 - b))
-            p = n / (1 + math.exp(-odds))
-            share += p
-            for r, v in zip(names, vote):
+            odds = start + sum(t[v > 0] for t, v in zip(told, vote) if v)
+            good = n / (1 + math.exp(-odds))
+            share += good
+            for s, v in zip(sums, vote):
                 if v:
-                    sums[r][0] += p
-                    sums[r][1] += n - p
+                    s[0] += good
+                    s[1] += n - good
                     if v < 0:
-                        sums[r][2] += p
-                        sums[r][3] += n - p
-        # a few assumed votes keep every rate inside (0, 1) and every rule on the side it was written for
-        bad = {r: (min((gm + 0.3) / (gv + 10), 0.01), max((bm + 3) / (bv + 10), 0.05)) for r, (gv, bv, gm, bm) in sums.items()}
-        new = min(max((share + 9) / (total + 10), 0.5), 0.99)
-        done, prior = abs(new - prior) < 1e-6, new
-        if done:
-            break
+                        s[2] += good
+                        s[3] += n - good
+        rates = {r: (min((gm + 0.3) / (gv + 10), GOOD_MOST), max((bm + 3) / (bv + 10), BAD_LEAST)) for r, (gv, bv, gm, bm) in zip(names, sums)}
+        new = min(max((share + 9) / (total + 10), SHARE[0]), SHARE[1])
+        moved = max([abs(new - prior), *(abs(x - y) for r in names for x, y in zip(rates[r], bad[r]))])
+        prior, bad = new, rates
     return prior, bad
 
 

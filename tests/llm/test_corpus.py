@@ -80,6 +80,43 @@ def test_op1(docs, none):
     assert o1.quality_rules(none).count() == 0
 
 
+def test_op1_estimates_by_expectation_maximisation():
+    """Against a restatement that weighs every document by itself, at its fixed point, for as many rounds as it takes."""
+    for seed in range(4):
+        r, names = random.Random(seed), ["p", "q", "r", "s", "t"]
+        share, rates = r.uniform(0.6, 0.95), [(r.uniform(0.001, 0.009), r.uniform(0.1, 0.7), r.uniform(0, 0.5)) for _ in names]
+        rows = []
+        for _ in range(3000):
+            good = r.random() < share
+            rows.append([0 if r.random() < none else -1 if r.random() < (g if good else b) else 1 for g, b, none in rates])
+        prior, bad = o1.estimated(sorted(Counter(map(tuple, rows)).items()), names)
+        v = np.array(rows)
+        g, b = (np.array([bad[n][k] for n in names]) for k in (0, 1))
+        like = [np.where(v == -1, x, np.where(v == 1, 1 - x, 1.0)).prod(1) for x in (g, b)]
+        post = prior * like[0] / (prior * like[0] + (1 - prior) * like[1])
+        again = [np.minimum(((post[:, None] * (v == -1)).sum(0) + 0.3) / ((post[:, None] * (v != 0)).sum(0) + 10), 0.01), np.maximum((((1 - post)[:, None] * (v == -1)).sum(0) + 3) / (((1 - post)[:, None] * (v != 0)).sum(0) + 10), 0.05)]
+        assert np.allclose(again, [g, b], atol=1e-5) and abs(np.clip((post.sum() + 9) / (len(v) + 10), 0.5, 0.99) - prior) < 1e-5
+        assert abs(prior - share) < 0.1
+    assert o1.estimated([], ["p"]) == (o1.PRIOR, {"p": (o1.START_GOOD, o1.START_BAD)})
+
+
+def test_op1_posterior_decides(spark):
+    """``quality`` is Bayes' rule on the votes, and ``kept`` follows it where a text doesn't fail outright."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = o1.quality_rules(docs).collect()
+    names = [f"vote_{n}" for n in o1.RULES]
+    judged = Counter(tuple(r[n] for n in names) for r in rows if not r.base_failed)
+    prior, bad = o1.estimated(sorted(judged.items()), list(o1.RULES))
+    for r in rows:
+        p, q = prior, 1 - prior
+        for n, (g, b) in bad.items():
+            p, q = (p * g, q * b) if r[f"vote_{n}"] < 0 else (p * (1 - g), q * (1 - b)) if r[f"vote_{n}"] else (p, q)
+        assert abs(r.quality - p / (p + q)) < 1e-9 and r.kept == (not r.base_failed and r.quality >= 0.5)
+    told = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    labelled = [r for r in rows if r.doc_id in told and not r.base_failed]
+    assert np.mean([r.kept == told[r.doc_id] for r in labelled]) > 0.97
+
+
 def test_op2(docs, none):
     rows = o2.personal_spans(docs)
     got = {r.doc_id: r.s for r in rows.select("doc_id", o2.told("all_spans").alias("s")).collect() if r.s}
