@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runnel.llm.common import documents, stage_scope, written
+from runnel.llm.common import documents, free_name, stage_scope, written
 from runnel.llm.features import label_table
 from runnel.llm.op2_pii import redacted
 from runnel.llm.op5_lsh_forest import near_duplicates
@@ -20,8 +20,9 @@ from runnel.llm.op10_packing import pack
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """``docs`` without the rows of these ids (column doc_id); rows with a null id stay."""
-    gone = rejected.select(F.col("doc_id").cast("long").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    name = free_name(docs, "__gone")
+    gone = rejected.select(F.col("doc_id").cast("long").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col(name), "left_anti")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -93,6 +93,14 @@ def stage_scope(spark: SparkSession, docs: DataFrame) -> Iterator[None]:
         _SCOPE.pop()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front as far as ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

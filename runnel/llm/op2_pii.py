@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runnel.llm.common import discard_table, documents, written
+from runnel.llm.common import discard_table, documents, free_name, written
 
 #: In the order in which kinds are listed. Possessive repeats match what plain ones would and keep
 #: long runs linear; a match starts where a run starts or the last match ended.
@@ -166,11 +166,12 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     Keeps all columns and rows; n_chars, if there is one, counts the new text. Null texts stay null.
     """
-    spans_ = personal_spans(docs).where(F.size("all_spans") > 0).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("all_spans").alias("__spans")).dropDuplicates(["__id", "__hash"])
-    met = docs.join(spans_, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__hash")), "left")
+    id_, hash_, spans_ = (free_name(docs, n) for n in ("__id", "__hash", "__spans"))
+    found = personal_spans(docs).where(F.size("all_spans") > 0).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("all_spans").alias(spans_)).dropDuplicates([id_, hash_])
+    met = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(hash_)), "left")
     names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
     new = F.expr(
-        "if(__spans IS NULL, text, aggregate(__spans, struct(0 AS at, '' AS o), (a, x) -> if(x.s >= a.at, "
+        f"if({spans_} IS NULL, text, aggregate({spans_}, struct(0 AS at, '' AS o), (a, x) -> if(x.s >= a.at, "
         f"struct(x.e AS at, concat(a.o, substring(text, a.at + 1, x.s - a.at), element_at({names}, x.k + 1)) AS o), struct(greatest(a.at, x.e) AS at, a.o AS o)), "
         "a -> concat(a.o, substring(text, a.at + 1))))"
     )
