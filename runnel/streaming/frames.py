@@ -1,7 +1,8 @@
 """Streams of sample blocks: re-blocking into frames, running filters, tracks and runs.
 
 State is kept per recording. A recording ends with a row whose ``last`` is set; what needs the end
-(the open run, the live tracks) is given out then.
+(the open run, the live tracks) is given out then. Save for ``reblock``, which keeps early blocks, a
+recording's rows come in order from trigger to trigger; within one they may come in any.
 """
 
 from __future__ import annotations
@@ -18,6 +19,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from runnel.operators.harmonic import distance
 
 
+def _in_order(batches: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
+    """All rows of one recording and trigger, which may come in several batches, sorted."""
+    return pd.concat(list(batches)).sort_values(list(by), kind="stable")
+
+
 def reblock(blocks: DataFrame, size: int, step: int) -> DataFrame:
     """recording_id, frame_idx, samples: hopping frames of a stream of (recording_id, block_idx, samples).
 
@@ -51,13 +57,13 @@ def filtered(frames: DataFrame, taps: list[float]) -> DataFrame:
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         memory = np.asarray(state.get[0]) if state.exists else None
-        for pdf in batches:
-            out = []
-            for r in pdf.sort_values("frame_idx").itertuples():
-                y, memory = fir(h, np.asarray(r.samples, float), memory)
-                out.append((key[0], r.frame_idx, float(np.sqrt((y**2).mean()))))
-            yield pd.DataFrame(out, columns=["recording_id", "frame_idx", "energy"])
-        state.update((memory.tolist() if memory is not None else [],))
+        out = []
+        for r in _in_order(batches, "frame_idx").itertuples():
+            y, memory = fir(h, np.asarray(r.samples, float), memory)
+            out.append((key[0], r.frame_idx, float(np.sqrt((y**2).mean()))))
+        if memory is not None:
+            state.update((memory.tolist(),))
+        yield pd.DataFrame(out, columns=["recording_id", "frame_idx", "energy"])
 
     kind = dict(frames.dtypes)["recording_id"]
     return frames.groupBy("recording_id").applyInPandasWithState(run, f"recording_id {kind}, frame_idx long, energy double", "m array<double>", "append", GroupStateTimeout.NoTimeout)
@@ -69,17 +75,16 @@ def running_runs(frames: DataFrame) -> DataFrame:
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         open_ = state.get if state.exists else None
         out = []
-        for pdf in batches:
-            for r in pdf.sort_values("frame_idx").itertuples():
-                if open_ is not None and open_[2] == r.label:
-                    open_ = (open_[0], r.frame_idx, r.label)
-                else:
-                    if open_ is not None:
-                        out.append((key[0], *open_))
-                    open_ = (r.frame_idx, r.frame_idx, r.label)
-                if r.last:
+        for r in _in_order(batches, "frame_idx").itertuples():
+            if open_ is not None and open_[2] == r.label:
+                open_ = (open_[0], r.frame_idx, r.label)
+            else:
+                if open_ is not None:
                     out.append((key[0], *open_))
-                    open_ = None
+                open_ = (r.frame_idx, r.frame_idx, r.label)
+            if r.last:
+                out.append((key[0], *open_))
+                open_ = None
         if open_ is None:
             if state.exists:
                 state.remove()
@@ -97,19 +102,18 @@ def tracked(peaks: DataFrame, least: int = 5) -> DataFrame:
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         live = pickle.loads(state.get[0]) if state.exists else []
         out = []
-        for pdf in batches:
-            for t, g in pdf.sort_values(["frame_idx", "rank"]).groupby("frame_idx", sort=True):
-                left, keep = [(f, a) for f, a in zip(g.frequency, g.amplitude) if f > 0 and a > 0], []
-                for start, n, f0, a0, end in live:
-                    k = next((i for i, (f, a) in enumerate(left) if distance(f, a, f0, a0) < 1), None)
-                    if k is not None:
-                        keep.append((start, n + 1, *left.pop(k), t))
-                    elif n > least:
-                        out.append((key[0], start, end, n))
-                live = keep + [(t, 1, f, a, t) for f, a in left]
-                if g["last"].any():
-                    out += [(key[0], s, e, n) for s, n, _, _, e in live if n > least]
-                    live = []
+        for t, g in _in_order(batches, "frame_idx", "rank").groupby("frame_idx", sort=True):
+            left, keep = [(f, a) for f, a in zip(g.frequency, g.amplitude) if f > 0 and a > 0], []
+            for start, n, f0, a0, end in live:
+                k = next((i for i, (f, a) in enumerate(left) if distance(f, a, f0, a0) < 1), None)
+                if k is not None:
+                    keep.append((start, n + 1, *left.pop(k), t))
+                elif n > least:
+                    out.append((key[0], start, end, n))
+            live = keep + [(t, 1, f, a, t) for f, a in left]
+            if g["last"].any():
+                out += [(key[0], s, e, n) for s, n, _, _, e in live if n > least]
+                live = []
         state.update((pickle.dumps(live),))
         yield pd.DataFrame(out, columns=["recording_id", "start_idx", "end_idx", "n"])
 

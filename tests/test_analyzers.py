@@ -25,6 +25,45 @@ def test_result_names_and_order(spark):
             assert abs(a.start + a.duration - b.start) < 1e-9 and a.label != b.label
 
 
+def test_from_wav_files_to_written_results(spark, tmp_path):
+    """Files are read, analysed and the results written, and give what the same samples give from memory."""
+    import wave
+
+    from runnel.sources.audio import decode_wav, mono, read_wav
+    from runnel.sources.models import write_results
+
+    rate, rng = 16000, np.random.default_rng(2)
+    t = np.arange(rate * 2) / rate
+    signals = {"speech": 0.2 * rng.normal(size=len(t)) * (1 + np.sin(2 * np.pi * 4 * t)) / 2, "tone": 0.5 * np.sin(2 * np.pi * 440 * t)}
+    for name, x in signals.items():
+        with wave.open(str(tmp_path / f"{name}.wav"), "wb") as w:
+            w.setnchannels(2)
+            w.setsampwidth(2)
+            w.setframerate(rate)
+            w.writeframes(np.repeat(np.clip(x * 32767, -32768, 32767).astype("<i2"), 2).tobytes())
+    out = A.run("irit_speech_4hz", A.Context(mono(read_wav(spark, str(tmp_path))), rate))
+    write_results(out, str(tmp_path / "results"))
+    memory = {n: (rate, decode_wav((tmp_path / f"{n}.wav").read_bytes())[1][:, 0].astype(np.float32)) for n in signals}
+    want = A.run("irit_speech_4hz", A.Context(from_arrays(spark, memory, block=16384), rate))
+    assert len(out) == 3
+    for name, df in want.items():
+        def rows(frame):
+            return sorted((r["recording_id"].rpartition("/")[2].removesuffix(".wav"), *(round(v, 6) if isinstance(v, float) else v for c, v in r.asDict().items() if c != "recording_id")) for r in frame.collect())
+
+        back = spark.read.parquet(str(tmp_path / "results" / f"result_id={name}"))
+        assert rows(back.select(df.columns)) == rows(df) != []
+
+
+def test_model_tables(spark, tmp_path):
+    from runnel.sources.models import read_gmm, read_prototype
+
+    model = [("m", 0, 1.0, [0.0, 1.0], [1.0, 2.0]), ("m", 1, 0.5, [None, 1.0], [1.0, 2.0])]
+    spark.createDataFrame(model, "model_id string, k int, weight double, mu array<double>, var array<double>").write.parquet(str(tmp_path / "gmm"))
+    spark.createDataFrame([([0.5, -1.0],)], "shape array<double>").write.parquet(str(tmp_path / "shape"))
+    assert sorted(map(tuple, read_gmm(spark, str(tmp_path / "gmm")).collect())) == model
+    assert read_prototype(spark, str(tmp_path / "shape")) == [0.5, -1.0]
+
+
 def test_all_analyzers_and_graphers():
     assert len(A.REGISTRY) == 17 and len(GRAPHERS) == 18
     assert {a for _, a, *_ in GRAPHERS} <= set(A.REGISTRY)

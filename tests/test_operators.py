@@ -199,3 +199,20 @@ def test_wav_round_trip(spark, tmp_path):
     assert [r.frame_idx for r in f] == list(range(8))
     assert np.allclose(f[3].samples, x[300:556] / 32768, atol=1e-6)
     assert np.allclose(mono(blocks, down_mix=True).first().samples, 0)
+
+
+def test_log_sum_exp_does_not_overflow(spark):
+    from runnel.operators.models import log_sum_exp
+
+    values = {1: [-1000.0, -1001.0], 2: [900.0, 3.0, 900.0]}
+    df = spark.createDataFrame([(k, v) for k, x in values.items() for v in x], "k int, v double")
+    got = {r.k: r.out for r in log_sum_exp(df, ["k"], "v", "out").collect()}
+    assert got.keys() == values.keys() and all(abs(got[k] - np.logaddexp.reduce(x)) < 1e-9 for k, x in values.items())
+
+
+def test_harmonicity_is_the_confidence_of_the_pitch():
+    from runnel.functions.signal import harmonicity, pitch
+
+    x = np.sin(2 * np.pi * 200 * np.arange(2048) / 8000)
+    noise = np.random.default_rng(1).normal(size=2048)
+    assert harmonicity(x, 8000, 60.0) == pitch(x, 8000, 60.0, 4000)[0] != harmonicity(noise, 8000, 60.0)
