@@ -64,7 +64,11 @@ class Record:
 
 @dataclass
 class Salvage:
-    """Iterates the valid records of a stream; ``gaps`` has (first byte, end) of what was skipped."""
+    """Iterates the valid records of a stream; ``gaps`` has (first byte, end) of what was skipped.
+
+    A record of more than ``limit`` bytes, unpacked, counts as damaged and is a gap too: a false or
+    hostile member is given up there. A reader of larger records raises it.
+    """
 
     source: object
     limit: int = 1 << 30
