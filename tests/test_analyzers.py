@@ -54,6 +54,32 @@ def test_from_wav_files_to_written_results(spark, tmp_path):
         assert rows(back.select(df.columns)) == rows(df) != []
 
 
+def test_one_voice_and_several(spark):
+    """A harmonic tone is one voice at its pitch; four detuned ones in noise are not."""
+    rate = 16000
+    t = np.arange(rate * 3) / rate
+    one = 0.5 * np.sin(2 * np.pi * 220 * t) + 0.2 * np.sin(2 * np.pi * 440 * t)
+    drift = 1 + 0.01 * np.sin(2 * np.pi * 0.7 * t)
+    many = sum(0.2 * np.sin(2 * np.pi * f * t * drift) for f in (220, 277.2, 331.3, 415.9)) + 0.1 * np.random.default_rng(5).normal(size=len(t))
+    out = A.run("irit_monopoly", A.Context(from_arrays(spark, {"one": (rate, one), "many": (rate, many)}), rate))
+    segments = {(r.recording_id, r.label_name) for r in out["irit_monopoly.segments"].collect()}
+    assert segments == {("one", "Mono"), ("many", "Poly")}
+    pitch = [r.f0 for r in out["irit_monopoly.pitch"].where("recording_id = 'one'").collect()]
+    assert len(pitch) > 100 and np.allclose(pitch, 220, atol=3)
+
+
+@pytest.mark.parametrize("name", ["irit_diverg", "irit_diverg2"])
+def test_divergence_cuts_where_tones_change(spark, name):
+    rate, rng = 16000, np.random.default_rng(5)
+    t = np.arange(rate // 2) / rate
+    tones = np.concatenate([0.4 * np.sin(2 * np.pi * f * t) for f in (300, 1500, 500)]) + 0.01 * rng.normal(size=3 * len(t))
+    out = A.run(name, A.Context(from_arrays(spark, {"tones": (rate, tones)}), rate))
+    cuts = np.array(sorted(r.t for r in out[f"{name}.segments"].collect()))
+    for change in (0.5, 1.0):
+        assert np.abs(cuts - change).min() < 0.02
+    assert name != "irit_diverg" or len(cuts) == 2
+
+
 def test_model_tables(spark, tmp_path):
     from runnel.sources.models import read_gmm, read_prototype
 
