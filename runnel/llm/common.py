@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -168,17 +169,18 @@ _ODD = re.compile("[\0-\x08\x0e-\x1f\x85\xa0\u0300-\u036f\u0345\u03a3\u1680\u200
 #: A word of one id in the vocabulary without spaces, put between pieces.
 _MARK = "~"
 _ENDS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_PUNCTUATION = frozenset(_ENDS)
 
 
 class CachedTokenizer:
     """Ids of whole texts by a public tokenizer, encoding each distinct piece once per worker.
 
     Both vocabularies split a text into pieces before merging, and a single space or newline
-    between two other characters always ends a piece. The text is cut there, each distinct piece
-    is encoded by the library, many to a call, and the ids (bytes, unsigned 32-bit little-endian)
-    are joined. Texts with other white space are encoded whole. The cache has two generations: the
-    older one goes once the younger holds half of ``limit`` pieces, so memory is bounded.
+    between two other characters always ends a piece; so does the border of a letter and
+    punctuation behind it. The texts of a call are cut there, each distinct piece is encoded by the
+    library, many to a call, and the ids (bytes, unsigned 32-bit little-endian) are joined, by
+    Arrow's kernels, so that Python sees distinct pieces only. Texts with other white space are
+    encoded whole. The cache has two generations: the older one goes once the younger holds half of
+    ``limit`` pieces, so memory is bounded.
     """
 
     def __init__(self, name: str, limit: int = 600_000):
@@ -214,69 +216,79 @@ class CachedTokenizer:
         data = ids.tobytes()
         self.cache.update(zip(pieces, [data[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]))
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Puts the ids of unseen pieces into the cache; None for those whose texts are encoded whole."""
+    def _learn(self, pieces: list[str]) -> None:
+        """Puts the ids of pieces that are not there into the cache; None for those whose texts are encoded whole."""
         cache, older = self.cache, self.older
-        if old := pieces & older.keys():
-            cache.update({p: older[p] for p in old})
-            pieces = pieces - old
-        apart = {p for p in pieces if not p or p[0] == "\0" or p == "\n"} if self.spaced else {p for p in pieces if not p or _MARK in p}
-        new = list(pieces - apart)
-        if _ODD.search("".join(new)):
-            odd = {p for p in new if _ODD.search(p)}
-            cache.update(dict.fromkeys(odd))
-            new = [p for p in new if p not in odd]
-        # punctuation after a letter is a piece of its own, and one vocabulary knows lower case only
-        parts, ended = [], [p for p in new if p[-1] in _PUNCTUATION]
-        todo = set(new).difference(ended)
-        if not self.spaced:
-            parts = [(p, p.lower(), "") for p in todo if not p.islower()]
-            todo = set(map(str.lower, todo))
-        for p in ended:
-            base = p.rstrip(_ENDS)
-            if base and base[-1].isalpha():
-                tail = "\0" + p[len(base) :]
-                if tail not in cache:
-                    cache[tail] = self._encode([tail[1:]])[0]
-                base = base if self.spaced else base.lower()
-                parts.append((p, base, tail))
-                todo.add(base)
-            else:
-                todo.add(p)
-        todo = todo.difference(cache)
-        if old := todo & older.keys():
-            cache.update({p: older[p] for p in old})
-            todo -= old
-        new = list(todo)
-        for lo in range(0, len(new), 2000):
-            self._together(new[lo : lo + 2000])
-        cache.setdefault("", b"" if not self.spaced else None)
-        cache.update([(p, cache[base] + cache[tail] if tail else cache[base]) for p, base, tail in parts])
+        cache.update([(p, older[p]) for p in pieces if p in older])
+        new = [p for p in pieces if p not in cache]
+        # the first piece of a text has no space before it: a leading \0 marks that
+        apart = [p for p in new if not p or p[0] == "\0" or p == "\n"] if self.spaced else [p for p in new if not p or _MARK in p]
         if apart:
-            # the first piece of a text has no space before it: a leading \0 marks that
             single = [p for p in apart if p not in ("", "\0", "\n") and not _ODD.search(p[self.spaced :])]
             cache.update(dict.fromkeys(apart))
             cache.update(zip(single, self._encode([p[self.spaced :] for p in single])))
             if not self.spaced:
                 cache[""] = b""
+            new = [p for p in new if p not in cache]
+        if _ODD.search("".join(new)):
+            odd = {p for p in new if _ODD.search(p)}
+            cache.update(dict.fromkeys(odd))
+            new = [p for p in new if p not in odd]
+        for lo in range(0, len(new), 2000):
+            self._together(new[lo : lo + 2000])
+
+    def _ids(self, pieces: list[str]) -> pa.LargeBinaryArray:
+        cache = self.cache
+        if new := [p for p in pieces if p not in cache]:
+            self._learn(new)
+        return pa.array(list(map(cache.__getitem__, pieces)), pa.large_binary())
+
+    def _ended(self, pieces: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray, list[str]]:
+        """The pieces without the punctuation that ends them, which of these ends each had (0: none), and the ends."""
+        bases = pc.ascii_rtrim(pieces, characters=_ENDS)
+        ends, data = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset + 1 :][: len(pieces)], np.frombuffer(pieces.buffers()[2], np.uint8)
+        size = pc.binary_length(pieces).to_numpy()
+        kept = pc.binary_length(bases).to_numpy()
+        # a base ends in a letter of ASCII or Latin-1; at most 8 characters follow it
+        some = np.flatnonzero((kept < size) & (kept > 0) & (size - kept <= 8))
+        at = ends[some] - (size - kept)[some]
+        last, before = data[at - 1], data[at - 2] * (kept[some] > 1)
+        letter = (last | 32) - np.uint8(97) < 26
+        letter |= (before == 0xC3) & (last != 0x97) & (last != 0xB7) & (last >= 0x80)
+        some, at = some[letter], at[letter]
+        codes = np.zeros(len(some), np.uint64)
+        for k in range(8):
+            there = at + k < ends[some]
+            codes[there] |= data[(at + k)[there]].astype(np.uint64) << np.uint64(8 * k)
+        told, which = np.unique(codes, return_inverse=True)
+        tails, cut = np.zeros(len(pieces), np.int32), np.zeros(len(pieces), bool)
+        tails[some], cut[some] = which + 1, True
+        return pc.if_else(pa.array(cut), bases, pieces), tails, [x.tobytes().rstrip(b"\0").decode() for x in told.astype("<u8")]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if self.spaced:
-            split = [("\0" + t.replace("\n", " \n")).split(" ") if t else () for t in texts]
-        else:
-            split = [t.replace("\n", " ").split(" ") if t else () for t in texts]
         if len(self.cache) > self.limit // 2:
             self.older, self.cache = self.cache, {}
-        cache = self.cache
-        if new := set().union(*split).difference(cache):
-            self._learn(new)
-        out, whole = [], []
-        for k, pieces in enumerate(split):
-            try:
-                out.append(b"".join(map(cache.__getitem__, pieces)))
-            except TypeError:  # a piece has None
-                out.append(b"")
-                whole.append(k)
+        odd = [k for k, t in enumerate(texts) if t and "\0" in t]  # these would look like first pieces
+        ready = [t and ("\0" + t.replace("\n", " \n") if self.spaced else t.replace("\n", " ")) for t in texts]
+        for k in odd:
+            ready[k] = None
+        split = pc.split_pattern(pa.array(ready, pa.large_string()), " ")
+        pieces = split.flatten()
+        if not len(pieces):  # nothing but empty texts and odd ones
+            return self._encode([t or "" for t in texts])
+        found = pieces.dictionary_encode()
+        bases, tails, told = self._ended(found.dictionary)
+        bases = (bases if self.spaced else pc.ascii_lower(bases)).dictionary_encode()
+        ids = self._ids(bases.dictionary.to_numpy(zero_copy_only=False).tolist()).take(bases.indices)
+        if told:
+            ends = pa.concat_arrays([pa.array([b""], pa.large_binary()), self._ids(["\0" + t if self.spaced else t for t in told])])
+            ids = pc.binary_join_element_wise(ids, ends.take(pa.array(tails)), pa.scalar(b"", pa.large_binary()))
+        ids = ids.take(found.indices)
+        borders = split.offsets.to_numpy()
+        whole = np.unique(np.searchsorted(borders, np.flatnonzero(ids.is_null().to_numpy(zero_copy_only=False)), "right") - 1).tolist() if ids.null_count else []
+        whole += odd
+        data, places = memoryview(ids.buffers()[2] or b""), np.frombuffer(ids.buffers()[1], np.int64)[borders].tolist()
+        out = [bytes(data[a:b]) for a, b in zip(places, places[1:])]
         for k, ids in zip(whole, self._encode([texts[k] for k in whole]) if whole else []):
             out[k] = ids
         return out

@@ -21,7 +21,7 @@ from runnel.llm import op7_warc as o7
 from runnel.llm import op8_rlz_dedup as o8
 from runnel.llm import op9_decontamination as o9
 from runnel.llm import op10_packing as o10
-from runnel.llm.common import new_folder, tokenizer
+from runnel.llm.common import CachedTokenizer, new_folder, tokenizer
 from runnel.llm.features import NAMES, isotonic, statistics
 
 SCHEMA = "doc_id long, text string, score double, value string, n long, part int, id long, h long"
@@ -67,6 +67,18 @@ def test_cached_tokenizer_is_the_library():
             assert tok.encode(texts) == tok._encode(texts)
 
 
+def test_cached_tokenizer_sees_distinct_pieces_only():
+    texts = ["Ab ab, \0x ab!? é, ×, cd?!.,;:?!. '\0s,", None, "\0", "", "ab!? \0", "'s, 's," + " ab," * 999]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        tok = CachedTokenizer(name)
+        assert tok.encode(texts) == tok._encode([t or "" for t in texts])
+        assert tok.encode([]) == [] and tok.encode([None, ""]) == [b"", b""] and tok.encode(["\0a"]) == tok._encode(["\0a"])
+        # a word's ids serve whatever punctuation follows it
+        learnt = len(tok.cache)
+        assert tok.encode(["b ab ab; ab... ab?"]) == tok._encode(["b ab ab; ab... ab?"])
+        assert not any(p.startswith("ab") and p != "ab" for p in tok.cache) and len(tok.cache) <= learnt + 5
+
+
 def test_op1(docs, none):
     got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in o1.quality_rules(docs).collect())
     want = Counter()
