@@ -526,6 +526,16 @@ def test_op9_queries_find_what_all_pairs_find(spark):
     assert got == want and len(got) >= 3
 
 
+def test_op10_texts_with_nul(spark):
+    texts = {1: "ab, ab", 2: "c \0, d", 3: "\0"}
+    got = o10.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1), capacity=64).collect()
+    tok = tokenizer("word_bpe_49k.json")
+    want = {k: tok._encode([t])[0] + np.array([1], "<u4").tobytes() for k, t in texts.items()}
+    ids = {r.doc_id: r.doc_tokens for r in got}
+    assert ids == {k: len(x) // 4 for k, x in want.items()}
+    assert all(r.ids_crc32 == zlib.crc32(want[r.doc_id][4 * r.start : 4 * (r.start + r.length)]) for r in got)
+
+
 def test_op10_plan_places_all_pieces():
     r = random.Random(4)
     h = Counter(r.randint(1, 64) for _ in range(500))
