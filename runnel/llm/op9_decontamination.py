@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ WINDOW, SHARE, MANY = 8, 0.5, 20
 #: Bits of the map of benchmark hashes, as a power of two; benchmark windows that are broadcast at most
 #: (some 100 bytes each), more are joined by a shuffle.
 BITS, BROADCAST_ROWS = 26, 200_000
+#: Bytes of text that are read at once.
+PART = 1 << 21
 
 _NUMBER = re.compile(r"[-+$€£]?\d[\d.,:/]*(?:st|nd|rd|th|s|%)?")
 _NUMBER_WORDS = "one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split()
@@ -76,12 +79,17 @@ def _known(w: str) -> bytes:
         one = code(w)
         return _pack(one, one, 0)
     core = w.strip(_TRIM)
+    low = core.lower()
     if w in (_BREAK, _TEXT) or not core:
         inside = start = 0
     else:
-        inside = code(placeholder(w, False))
-        start = inside if w[:1].islower() else code(placeholder(w, True))
-    flags = _GAP * (w in (_BREAK, _TEXT)) + _NEXT * (w == _TEXT) + _STOP * (w[-1] in ".!?:") + _TRAIL * (w[-1] in _TRIM) + _LEAD * (w[0] in _TRIM) + _USUAL * (core.lower() in _COMMON)
+        told = low if core.isalpha() and low not in _PLAIN else placeholder(core, True)
+        inside = start = code(told)
+        if told == low and core[0].isupper() and not core.isupper():
+            inside = _NAME_CODE
+    flags = _GAP * (w in (_BREAK, _TEXT)) + _NEXT * (w == _TEXT) + _USUAL * (low in _COMMON)
+    if len(core) < len(w):
+        flags += _STOP * (w[-1] in ".!?:") + _TRAIL * (w[-1] in _TRIM) + _LEAD * (w[0] in _TRIM)
     return _pack(inside, start, flags)
 
 
@@ -90,24 +98,32 @@ class Reading:
     can be a name as well.
 
     at[k] is the first of the words (those of punctuation alone left out) that template word k
-    stands for, text[k] the text it is in. Each distinct word is looked at once per worker.
+    stands for, text[k] the text it is in. Arrow splits the texts, so that Python sees distinct words
+    only, each once per worker.
     """
 
     def __init__(self, texts: list[str | None]):
-        words = f" {_TEXT} ".join([(t or "").replace(_TEXT, " ").replace("\n", f" {_BREAK} ") for t in texts]).split()
+        joined = f" {_TEXT} ".join([(t or "").replace(_TEXT, " ").replace("\n", f" {_BREAK} ") for t in texts])
+        words = pc.utf8_split_whitespace(pa.array([joined.strip()], pa.large_string())).flatten().dictionary_encode()
+        self._told, words = words.dictionary.to_numpy(zero_copy_only=False), words.indices.to_numpy()
+        told = self._told.tolist()
+        if told == [""]:  # no word at all
+            told, words = [], words[:0]
         if len(_WORDS) > 400_000:
             _WORDS.clear()
-        for w in set(words).difference(_WORDS):
-            _WORDS[w] = _known(w)
-        table = np.frombuffer(b"".join(map(_WORDS.__getitem__, words)), "<u8").reshape(-1, 3)
-        flags, place = table[:, 2].astype(np.uint8), np.arange(len(words), dtype=np.int32)
+        for w in told:
+            if w not in _WORDS:
+                _WORDS[w] = _known(w)
+        known = np.frombuffer(b"".join(map(_WORDS.__getitem__, told)), "<u8").reshape(-1, 3)
+        codes, starts, flags = known[:, 0][words], known[:, 1][words], known[:, 2].astype(np.uint8)[words]
+        place = np.arange(len(words), dtype=np.int32)
         gap, text = flags & _GAP != 0, np.cumsum(flags & _NEXT != 0, dtype=np.int32)
         # the last word before each one that is no break, and how many breaks lie between
-        last = np.concatenate(([-1], np.maximum.accumulate(np.where(gap, -1, place))[:-1])) if words else place
-        kept = np.flatnonzero(table[:, 0])
-        inside, start, last, text, own = table[kept, 0], table[kept, 1], last[kept], text[kept], flags[kept]
+        last = np.concatenate(([-1], np.maximum.accumulate(np.where(gap, -1, place))[:-1])) if len(words) else place
+        kept = np.flatnonzero(codes)
+        inside, start, last, text, own = codes[kept], starts[kept], last[kept], text[kept], flags[kept]
         breaks, other = kept - 1 - last, np.concatenate(([True], text[1:] != text[:-1]))[: len(kept)]
-        hard = other | (last < 0) | (breaks > 1) | (flags[last] & _STOP != 0) if words else gap[kept]
+        hard = other | (last < 0) | (breaks > 1) | (flags[last] & _STOP != 0) if len(words) else gap[kept]
         capital, common = inside == _NAME_CODE, own & _USUAL != 0
         begins = hard | (breaks > 0)
         # adjoining words of one slot
@@ -130,7 +146,7 @@ class Reading:
         name); empty for other words."""
         kind = {_NUM_CODE: "n", _UNIT_CODE: "u", _NAME_CODE: "p"}.get(int(self.codes[k]), "m" if self.maybe[k] else "")
         end = self.at[k + 1] if k + 1 < len(self.at) else self.n
-        return kind and kind + " ".join(self._words[w].strip(_TRIM) for w in self._kept[self.at[k] : end].tolist())
+        return kind and kind + " ".join(self._told[w].strip(_TRIM) for w in self._words[self._kept[self.at[k] : end]].tolist())
 
     def first_word(self, k: int, text: int) -> int:
         """The word of the text at which template word k begins (or the text ends)."""
@@ -211,8 +227,11 @@ def document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> Dat
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()))
         names = [c.split()[0] for c in schema.split(", ")]
         for batch in batches:
-            for lo in range(0, batch.num_rows, 100):
-                part = batch.slice(lo, 100)
+            # rows with about PART bytes of text together
+            sums = np.cumsum(pc.binary_length(batch.column(2)).to_numpy().astype(np.int64))
+            edges = [0, *(np.flatnonzero(np.diff(sums // PART)) + 1).tolist(), len(sums)]
+            for lo, hi in zip(edges, edges[1:]):
+                part = batch.slice(lo, hi - lo)
                 ids, keys, texts = (c.to_pylist() for c in part.columns)
                 read, rows = Reading(texts), []
                 for size in sizes:

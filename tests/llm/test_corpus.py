@@ -461,6 +461,22 @@ def test_op9(spark, docs, none, monkeypatch):
     assert o9.contaminated(none, bench).count() == 0 and o9.contaminated(more, bench.limit(0)).count() == 0
 
 
+def test_op9_looks_up_distinct_words_only(monkeypatch):
+    class Counted(dict):
+        looked = 0
+
+        def __getitem__(self, w):
+            self.looked += 1
+            return super().__getitem__(w)
+
+    known = Counted()
+    monkeypatch.setattr(o9, "_WORDS", known)
+    read = o9.Reading(["one\x85two \u3000 Ann  ", None, " ", "go on, " * 500 + "\x1c"])
+    assert read.text.tolist() == [0, 0] + [3] * 1000 and [read.value(k) for k in range(2)] == ["none two", "pAnn"]
+    assert known.looked <= len(known) <= 7
+    assert o9.Reading([" \n", ""]).windows(1)[0].tolist() == o9.Reading([]).windows(1)[0].tolist() == []
+
+
 def test_op9_reads_many_texts_like_each_alone():
     texts = [t for _, t in TEXTS] + ["Tom met Ann.", "Ann Lee met Tom\nand 5 6 men", "5 apples", None, "...", "x\x04y Z"]
     read = o9.Reading(texts)
